@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,32 +48,21 @@ def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
 
 
 def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow of a function that is made once per task; batches hold at most a few hundred rows."""
+    """mapInArrow of a function that is made once per task and gets at most ROWS rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            out = work(batch)
-            if isinstance(out, pa.Table):
-                yield from out.to_batches()
-            elif out is not None:
-                yield out
+            for lo in range(0, batch.num_rows, ROWS):
+                out = work(batch.slice(lo, ROWS))
+                if isinstance(out, pa.Table):
+                    yield from out.to_batches()
+                elif out is not None:
+                    yield out
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def split_bytes(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts sum to about `most` bytes, so that work on them stays bounded."""
-    sizes, start, total = batch.column(column).to_pylist(), 0, 0
-    for i, x in enumerate(sizes):
-        total += len(x or "")
-        if total >= most:
-            yield batch.slice(start, i + 1 - start)
-            start, total = i + 1, 0
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def ascii_lower(column):
     """Lower-cases A-Z alone; F.lower would change other letters too."""
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)

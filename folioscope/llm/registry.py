@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import packing, quality, simhash
+from folioscope.llm import media, packing, quality, simhash
 from folioscope.llm.common import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_back(media.store_texts(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,7 +41,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op4_simhash": op4_simhash, "op6_packing": op6_packing}
+    return {"op2_media": op2_media, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op6_packing": op6_packing}
 
 
 def oracle_sql() -> dict[str, str]:
