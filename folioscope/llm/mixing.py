@@ -7,7 +7,8 @@ tokens at rate 1: in the metric of t a step of 1 is safe, since the operator is
 step is one aggregation of K sums over a written table of (tokens, posteriors); only those K numbers reach the driver.
 
 The goal is target weight times a total: by default the least total at which no domain shrinks, so every document is
-kept and scarce domains repeat. Rates are fitted for expected totals; copies() rounds them by a hash of the row.
+kept and scarce domains repeat. Rates are fitted for expected totals, to 1e-5 of the whole or for 12 steps; copies()
+rounds them by a hash of the row.
 
 At most `most` labelled rows (those with the least hashes) are used for fitting, a documented bound. Rows with a null
 text have no tokens and get rate 1; a null or unknown domain isn't learnt from; repeated rows count each; an empty
@@ -70,7 +71,7 @@ def posteriors(docs: DataFrame, shares: dict[str, list[float]], keep: list[str])
     return own.select(*keep, "tokens", *[(F.col(f"_e{k}") / total).alias(f"p_{d}") for k, d in enumerate(shares)])
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None = None, most_steps: int = 40, tolerance: float = 1e-7) -> F.Column:
+def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None = None, most_steps: int = 12, tolerance: float = 1e-5) -> F.Column:
     """The rate of a row as an expression over tokens and p_<domain>; soft should be a written table."""
     p = [F.col(f"p_{d}") for d in targets]
     weigh = lambda r: [float(x or 0.0) for x in soft.agg(*[F.sum(F.col("tokens") * q * r) for q in p]).first()]
@@ -109,7 +110,8 @@ def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """Each row of docs as often as its copies say; the columns of docs."""
     targets = targets or TARGETS
     shares = fit_classifier(docs, labels, list(targets), domain)
-    soft = common.stored(posteriors(docs.withColumn("th", F.xxhash64("text")), shares, ["doc_id", "th"]), "mixing")
+    own = docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)], "text", "doc_id")
+    soft = common.stored(posteriors(own, shares, own.columns[:-2] + ["doc_id"]).withColumn("th", F.xxhash64(f"own_{docs.columns.index('text')}")), "mixing-texts")
     rate = F.round(fit_rates(soft, targets, total), 9)
-    scored = posteriors(docs.withColumn("th", F.xxhash64("text")), shares, [*docs.columns, "th"]).withColumn("copies", copies(rate, "doc_id", "th"))
-    return scored.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    repeated = soft.withColumn("copies", copies(rate, "doc_id", "th")).where("copies > 0")
+    return repeated.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])

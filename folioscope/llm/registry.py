@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import licences, lines, media, mixing, packing, quality, simhash
+from folioscope.llm import ann, licences, lines, media, mixing, packing, quality, simhash
 from folioscope.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.read_back(media.store_texts(table(spark, sf_dir, "documents")))
     return read.select(
@@ -54,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_media, op3_quality, op4_simhash, op6_packing, op7_licences, op8_mixing, op10_line_dedup)
+    own = (op1_mih, op2_media, op3_quality, op4_simhash, op6_packing, op7_licences, op8_mixing, op10_line_dedup)
     return {f.__name__: f for f in own}
 
 
