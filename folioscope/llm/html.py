@@ -193,20 +193,26 @@ def _fill(flow: Flow, node: Node, pre: bool) -> None:
             body = render(child, pre)
             mark = f"{number}. " if ordered else "- "
             number += 1
-            flow.block(mark + body.replace("\n", "\n" + " " * len(mark)) if body else "", 0)
+            flow.block(mark + _indented(body, len(mark)) if body else "", 0)
         elif child.tag == "table":
             flow.block(_table(child), 1)
         elif child.tag == "dd":
             body = render(child, pre)
-            flow.block("  " + body.replace("\n", "\n  ") if body else "", 0)
+            flow.block("  " + _indented(body, 2) if body else "", 0)
         elif child.tag in BLOCKS:
-            flow.block(render(child, pre or child.tag == "pre"), int(child.tag in PARAGRAPHS))
+            flow.block(render(child, pre or child.tag == "pre"), int(child.tag in PARAGRAPHS and not (node.tag == "li" and child.tag in ("ul", "ol"))))
         elif child.tag == "textarea":
             flow.line.append(render(child, False))
         else:
             _fill(flow, child, pre)
 
 
+def _indented(text: str, width: int) -> str:
+    """All lines but the first moved to the right; blank ones stay blank."""
+    first, *rest = text.split("\n")
+    return "\n".join([first, *(" " * width + x if x else "" for x in rest)])
+
+
 def _table(table: Node) -> str:
     """Caption, then rows with cells padded to the widths of their columns."""
     rows: list[list[tuple[str, int]]] = []
