@@ -10,7 +10,7 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     """(query, expected, unwanted) of a colon-separated file; its first line and lines without three parts are skipped."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line")).where("n > 0")
     own = rows.select(F.split("line", ":").alias("p")).where(F.size("p") == 3)
-    words = lambda i: F.filter(F.transform(F.split(F.get("p", F.lit(i)), ","), F.trim), lambda x: x != "")
+    words = lambda i: F.filter(F.transform(F.split(F.get("p", F.lit(i)), ","), lambda x: F.trim(x)), lambda x: x != "")
     return own.select(F.trim(F.get("p", F.lit(0))).alias("query"), words(1).alias("expected"), words(2).alias("unwanted"))
 
 
