@@ -4,7 +4,8 @@ A classifier fitted on labelled rows (naive Bayes over hashed words) gives every
 its evidence counts as that of EVIDENCE average words, so memberships stay soft. Document rates r >= 0 are then fitted
 by projected gradient descent on sum_k (sum_d r_d t_d p_dk - goal_k)^2 / T_k, with t the tokens and T_k the domain's
 tokens at rate 1: in the metric of t a step of 1 is safe, since the operator is a product of two averagings. Each
-step is one aggregation of K sums over a written table of (tokens, posteriors); only those K numbers reach the driver.
+step projects onto r >= least (0, or 1 where no document may go) and is one aggregation of K sums over a written table
+of (tokens, posteriors); only those K numbers reach the driver.
 
 The goal is target weight times a total: by default the least total at which no domain shrinks, so every document is
 kept and scarce domains repeat. Rates are fitted for expected totals, to 1e-5 of the whole or for 12 steps; copies()
@@ -71,7 +72,7 @@ def posteriors(docs: DataFrame, shares: dict[str, list[float]], keep: list[str])
     return own.select(*keep, "tokens", *[(F.col(f"_e{k}") / total).alias(f"p_{d}") for k, d in enumerate(shares)])
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None = None, most_steps: int = 12, tolerance: float = 1e-5) -> F.Column:
+def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None = None, least: float = 0.0, most_steps: int = 12, tolerance: float = 1e-5) -> F.Column:
     """The rate of a row as an expression over tokens and p_<domain>; soft should be a written table."""
     p = [F.col(f"p_{d}") for d in targets]
     weigh = lambda r: [float(x or 0.0) for x in soft.agg(*[F.sum(F.col("tokens") * q * r) for q in p]).first()]
@@ -86,7 +87,7 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None =
         if max((abs(a - g) / max(1.0, total) for a, g in zip(now, goal, strict=True)), default=0.0) <= tolerance:
             break
         move = sum((q * s for q, s in zip(p[1:], step[1:], strict=True)), p[0] * step[0])
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(F.lit(float(least)), rate - move)
         now = weigh(rate)
     return F.when(F.col("tokens") > 0, rate).otherwise(1.0)
 
@@ -106,12 +107,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return soft.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), "doc_id", "th"))
 
 
-def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang", total: float | None = None) -> DataFrame:
-    """Each row of docs as often as its copies say; the columns of docs."""
+def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang", total: float | None = None, least: float = 1.0) -> DataFrame:
+    """Each row of docs as often as its copies say; the columns of docs. At a least rate of 1 no row goes."""
     targets = targets or TARGETS
     shares = fit_classifier(docs, labels, list(targets), domain)
     own = docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)], "text", "doc_id")
     soft = common.stored(posteriors(own, shares, own.columns[:-2] + ["doc_id"]).withColumn("th", F.xxhash64(f"own_{docs.columns.index('text')}")), "mixing-texts")
-    rate = F.round(fit_rates(soft, targets, total), 9)
+    rate = F.round(fit_rates(soft, targets, total, least), 9)
     repeated = soft.withColumn("copies", copies(rate, "doc_id", "th")).where("copies > 0")
     return repeated.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])
