@@ -115,25 +115,21 @@ def hybrid_search(spark, d):
 
 # ---- reranking ----
 
-_FEW = f"few AS (SELECT vec_id AS id, label, embedding, {_COS} AS c FROM embeddings WHERE vec_id % 7 = 1)"
+_SCORED = f"scored AS (SELECT vec_id AS id, label, embedding, {_COS} AS c FROM embeddings)"
 
 
-def _few(spark, d):
-    return vectors(spark, d).where("id % 7 = 1")
-
-
-@query(f"WITH {_FEW} SELECT id, label, round(CASE WHEN max(c) OVER w > min(c) OVER w THEN (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w) ELSE 1.0 END, 6) AS relevance_score FROM few WINDOW w AS (PARTITION BY label)")
+@query(f"WITH {_SCORED} SELECT id, label, round(CASE WHEN max(c) OVER w > min(c) OVER w THEN (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w) ELSE 1.0 END, 6) AS relevance_score FROM scored WINDOW w AS (PARTITION BY label)")
 def minmax_rerank(spark, d):
-    return rerank.by_embedding(_few(spark, d), query_vector(spark, d), by=["label"]).select("id", "label", F.round("relevance_score", 6).alias("relevance_score"))
+    return rerank.by_embedding(vectors(spark, d), query_vector(spark, d), by=["label"]).select("id", "label", F.round("relevance_score", 6).alias("relevance_score"))
 
 
 _ANSWER = "CASE id % 5 WHEN 0 THEN 'It is PERFECT' WHEN 1 THEN 'good' WHEN 2 THEN 'some relevance' WHEN 3 THEN 'bad' ELSE NULL END"
 
 
-@query(f"""WITH {_FEW}, m AS (SELECT id, least(greatest((c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()), 0), 1) AS e, {_ANSWER} AS a FROM few)
+@query(f"""WITH {_SCORED}, m AS (SELECT id, least(greatest((c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()), 0), 1) AS e, {_ANSWER} AS a FROM scored)
 SELECT id, round(0.5 * CASE WHEN a ILIKE '%perfect%' THEN 1.0 WHEN a ILIKE '%good%' THEN 0.75 WHEN a ILIKE '%some%' THEN 0.5 WHEN a ILIKE '%bad%' THEN 0.25 ELSE 0.0 END + 0.5 * e, 6) AS relevance_score FROM m""")
 def weighted_fusion_rerank(spark, d):
-    own = rerank.by_embedding(_few(spark, d), query_vector(spark, d)).withColumn("answer", F.expr(_ANSWER))
+    own = rerank.by_embedding(vectors(spark, d), query_vector(spark, d)).withColumn("answer", F.expr(_ANSWER))
     return rerank.with_rubric(own, "answer").select("id", F.round("relevance_score", 6).alias("relevance_score"))
 
 
@@ -153,10 +149,10 @@ def listwise_select(spark, d):
     return rerank.by_list(table(spark, d, "documents").select("doc_id", "lang"), ids, "doc_id").select("doc_id", "position_in_list", "lang")
 
 
-@query("SELECT d.doc_id, coalesce(s.score, 0.0)::DOUBLE AS relevance_score FROM (SELECT doc_id FROM documents WHERE doc_id < 20) d LEFT JOIN (VALUES (0, 0.9), (3, 0.1), (7, 0.5), (50, 1.0)) AS s(i, score) ON s.i = d.doc_id")
+@query("SELECT d.doc_id, coalesce(s.score, 0.0)::DOUBLE AS relevance_score FROM documents d LEFT JOIN (VALUES (0, 0.9), (3, 0.1), (7, 0.5), (50, 1.0)) AS s(i, score) ON s.i = d.doc_id")
 def score_backmap(spark, d):
     scores = spark.createDataFrame([(0, 0.9), (3, 0.1), (7, 0.5), (50, 1.0)], "index long, score double")
-    own = table(spark, d, "documents").where("doc_id < 20").select(F.col("doc_id").alias("index"), F.col("doc_id").alias("id"))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.col("doc_id").alias("id"))
     return rerank.by_service(own, scores).select(F.col("id").alias("doc_id"), "relevance_score")
 
 
@@ -196,16 +192,17 @@ def window_assemble(spark, d):
 
 # ---- synchronisation ----
 
-_SNAPSHOTS = f"""{NOTES}, listing AS (SELECT source_path, CASE WHEN doc_id % 5 = 0 THEN modified_at + 1 WHEN doc_id % 5 = 1 THEN modified_at - 1 ELSE modified_at END AS now FROM notes WHERE doc_id % 4 > 0),
-stored AS (SELECT source_path, modified_at AS before FROM notes WHERE doc_id % 3 > 0),
+_SNAPSHOTS = f"""{NOTES}, listing AS (SELECT source_path, CASE lang WHEN 'en' THEN modified_at + 1 WHEN 'de' THEN modified_at - 1 ELSE modified_at END AS now FROM notes WHERE source <> 'src3'),
+stored AS (SELECT source_path, modified_at AS before FROM notes WHERE source <> 'src4'),
 plan AS (SELECT source_path, CASE WHEN before IS NULL THEN 'ADD' WHEN now IS NULL THEN 'DELETE' WHEN now > before THEN 'REPLACE' ELSE 'KEEP' END AS action FROM listing FULL JOIN stored USING (source_path))"""
 
 
 def _snapshots(spark, d):
-    own, i = notes(spark, d), F.col("doc_id")
-    shift = F.when(i % 5 == 0, 1).when(i % 5 == 1, -1).otherwise(0)
-    listing = own.where(i % 4 > 0).withColumn("modified_at", F.col("modified_at") + shift)
-    stored = own.where(i % 3 > 0)
+    """One folder is new, one is gone; English notes are newer than stored, German ones older."""
+    own = notes(spark, d)
+    shift = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", -1).otherwise(0)
+    listing = own.where("source <> 'src3'").withColumn("modified_at", F.col("modified_at") + shift)
+    stored = own.where("source <> 'src4'")
     return listing, stored
 
 
@@ -233,14 +230,14 @@ def summary_union(spark, d):
 
 # ---- graph ----
 
-_GRAPH = f"{NOTES}, g AS (SELECT doc_id AS id, wikilink_name, source_path, [source, 'n' || (doc_id * 7 % 50), 'n' || (doc_id * 3 % 50)] AS links FROM notes), hit AS (SELECT * FROM g WHERE id % 211 = 5)"
+_GRAPH = f"{NOTES}, g AS (SELECT doc_id AS id, wikilink_name, source_path, source, lang, [source, 'n' || (doc_id * 7 % 50), 'n' || (doc_id * 3 % 50)] AS links FROM notes), hit AS (SELECT * FROM g WHERE source = 'src5' AND lang = 'de')"
 
 
 def _graph(spark, d):
     i = F.col("doc_id")
     links = F.array("source", F.concat(F.lit("n"), (i * 7 % 50).cast("string")), F.concat(F.lit("n"), (i * 3 % 50).cast("string")))
-    own = notes(spark, d).select(i.alias("id"), "wikilink_name", "source_path", links.alias("outgoing_links"))
-    return own.where("id % 211 = 5"), own
+    own = notes(spark, d).select(i.alias("id"), "wikilink_name", "source_path", "source", "lang", links.alias("outgoing_links"))
+    return own.where("source = 'src5' and lang = 'de'"), own
 
 
 @query(f"WITH {_GRAPH} SELECT id, wikilink_name FROM g WHERE wikilink_name IN (SELECT unnest(links) FROM hit)")
@@ -302,13 +299,16 @@ def markdown_format(spark, d):
     return own.select("doc_id", formats.markdown_item(F.col("title"), F.col("doc_id") / 1000.0, F.col("source_path"), F.col("text"), F.col("tags"), none).alias("item"))
 
 
-@query(f"""WITH {NOTES}, few AS (SELECT doc_id, doc_id || '. ' || title || ': ' || CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END || ' [' || lang || ', ' || source || ']' AS item FROM notes WHERE doc_id < 8)
-SELECT string_agg(item, chr(10) ORDER BY doc_id) FILTER (WHERE doc_id < 3) || chr(10) || '... and 5 more results)' AS text FROM few""")
+@query(f"""WITH {NOTES}, best AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_BM25} ORDER BY r LIMIT 8),
+items AS (SELECT r, r || '. ' || title || ': ' || CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END || ' [' || lang || ', ' || source || ']' AS item FROM best JOIN notes ON doc_id = id)
+SELECT string_agg(item, chr(10) ORDER BY r) FILTER (WHERE r <= 3) || chr(10) || '... and 5 more results)' AS text FROM items""")
 def compact_format(spark, d):
-    none = F.array().cast("array<string>")
-    own = notes(spark, d).where("doc_id < 8")
-    items = own.select("doc_id", formats.compact_item(F.col("doc_id"), F.col("title"), F.lit(None).cast("double"), F.col("text"), F.col("tags"), none).alias("item"))
-    return formats.compact(items, "item", "doc_id")
+    """The eight best documents of a search as a compact list."""
+    none, own = F.array().cast("array<string>"), notes(spark, d)
+    best = retrieval.bm25(own, QUERY, ["text"], "doc_id").orderBy(F.desc("score"), "doc_id").limit(8)
+    rows = retrieval.ranked(best, "score", "doc_id", True).join(own, "doc_id")
+    items = rows.select("rank", formats.compact_item(F.col("rank"), F.col("title"), F.lit(None).cast("double"), F.col("text"), F.col("tags"), none).alias("item"))
+    return formats.compact(items, "item", "rank")
 
 
 @query(f"SELECT doc_id, {_TOK.format(c='text')}[1] AS first_token, len({_TOK.format(c='text')}) AS n_tokens FROM documents")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -141,24 +142,24 @@ def reddit_post(spark, d):
 # ---- research over the pages table ----
 
 
-@query("""WITH q AS (SELECT item_id AS n FROM benchmark WHERE item_id < 5), h AS (SELECT n, page_id, url, row_number() OVER (PARTITION BY n ORDER BY page_id) AS place FROM q JOIN pages ON page_id % 40 = n)
+@query("""WITH q AS (SELECT item_id AS n FROM benchmark), h AS (SELECT n, page_id, url, row_number() OVER (PARTITION BY n ORDER BY page_id) AS place FROM q JOIN pages ON page_id % 40 = n)
 SELECT CAST(n AS INTEGER) AS n, count(*) AS hits, count(DISTINCT url) AS urls FROM h WHERE place <= 10 GROUP BY n""")
 def research_fanout(spark, d):
     """Benchmark items fan out to the pages that a search over the table finds for each."""
     from pyspark.sql import Window
 
-    branches = research.fan_out(spark, [str(i) for i in range(5)])
+    branches = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("n"))
     found = table(spark, d, "pages").select((F.col("page_id") % 40).cast("int").alias("n"), "page_id", "url").join(branches, "n")
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("page_id"))).where("place <= 10")
     return found.groupBy("n").agg(F.count("*").alias("hits"), F.countDistinct("url").alias("urls"))
 
 
-@query("""WITH h AS (SELECT page_id % 40 AS n, page_id, url, page_id % 7 = 0 AS failed FROM pages WHERE page_id % 40 < 5)
+@query("""WITH h AS (SELECT page_id % 40 AS n, page_id, url, page_id % 7 = 0 AS failed FROM pages)
 SELECT CAST(n AS INTEGER) AS n, count(*) FILTER (WHERE NOT failed) AS good, count(*) FILTER (WHERE failed) AS bad, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) FILTER (WHERE NOT failed) AS ids FROM h GROUP BY n""")
 def research_reduce(spark, d):
     """Evidence of all branches: texts that came and those that failed, in order."""
     failed = F.col("page_id") % 7 == 0
-    own = table(spark, d, "pages").where("page_id % 40 < 5").select((F.col("page_id") % 40).cast("int").alias("n"), "page_id", F.when(failed, "ERROR: gone").otherwise("text").alias("text"))
+    own = table(spark, d, "pages").select((F.col("page_id") % 40).cast("int").alias("n"), "page_id", F.when(failed, "ERROR: gone").otherwise("text").alias("text"))
     good = ~F.col("text").startswith("ERROR")
     ids = F.sort_array(F.collect_list(F.when(good, F.col("page_id"))))
     return own.groupBy("n").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
@@ -170,6 +171,11 @@ def source_updates(spark, d):
     return poll.latest_updates(own)
 
 
+def _state(spark) -> str:
+    """The shared folder for streams' state; a temporary one only where none is set."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-")).rstrip("/")
+
+
 @query()
 def stream_sync(spark, d):
     """The same over a stream of files: windows that the watermark has closed."""
@@ -177,6 +183,6 @@ def stream_sync(spark, d):
     own = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*").parquet(path if path.endswith("/") else f"{d}/events.parque[t]")
     updates = poll.latest_updates(own.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("source")))
     name = f"stream_sync_{abs(hash(d)) % 10**8}"
-    run = updates.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    run = updates.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{_state(spark)}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)

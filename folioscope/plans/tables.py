@@ -43,14 +43,14 @@ TURNS = """turns AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn A
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third turn as a hit, some with scores, and a summary hit (position -1) for every fourth conversation."""
-    own = table(spark, sf_dir, "conversations").where("turn % 3 = 1").select("conv_id", F.col("turn").cast("int").alias("position"))
-    summary = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 4 = 0").select("conv_id", F.lit(-1).alias("position"))
+    """Answers as hits, some with scores, and a summary hit (position -1) for conversations that a system turn opens."""
+    own = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").cast("int").alias("position"))
+    summary = table(spark, sf_dir, "conversations").where("turn = 0 and role = 'system'").select("conv_id", F.lit(-1).alias("position"))
     both = own.unionByName(summary)
     score = F.when(F.col("conv_id") % 3 > 0, (F.col("conv_id") * 7 + F.col("position")) % 10 / 10.0)
     return both.select(F.col("conv_id").cast("string").alias("document_id"), "position", ((F.col("conv_id") * 31 + F.col("position")) % 1009).cast("int").alias("hit_rank"), score.alias("relevance_score"))
 
 
 HITS = """hits AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, position, CAST((conv_id * 31 + position) % 1009 AS INTEGER) AS hit_rank,
-  CASE WHEN conv_id % 3 > 0 THEN ((conv_id * 7 + position) % 10) / 10.0 END AS relevance_score FROM (SELECT conv_id, CAST(turn AS INTEGER) AS position FROM conversations WHERE turn % 3 = 1
-  UNION ALL SELECT conv_id, -1 FROM conversations WHERE turn = 0 AND conv_id % 4 = 0))"""
+  CASE WHEN conv_id % 3 > 0 THEN ((conv_id * 7 + position) % 10) / 10.0 END AS relevance_score FROM (SELECT conv_id, CAST(turn AS INTEGER) AS position FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, -1 FROM conversations WHERE turn = 0 AND role = 'system'))"""
