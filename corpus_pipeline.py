@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again before the next.
 
 1. quality classifier: documents that the factorisation machine scores under 0.7 go.
-2. line dedup: later repeated runs of lines and sentences are deleted from the texts.
+2. line dedup: later repeated runs of lines and sentences are deleted from the texts; texts that lose all of it go.
 3. SimHash near-dedup: the document with the smallest id of each component stays.
 4. mixing: documents repeat as often as their fitted rates say; none is dropped at the default targets.
 5. packing: pieces of sequences of at most 2048 tokens.
@@ -31,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup(docs)
+    return lines.dedup(docs, drop_emptied=True)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

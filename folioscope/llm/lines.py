@@ -11,8 +11,8 @@ each later occurrence, never pairs. Links on one alignment of two texts are merg
 unit to both sides as long as both texts agree, and the run is deleted from the later text.
 
 Rows with the same doc_id and text are one document: they lose the same units. Null ids come first in the order. Null
-texts stay null, texts that lose all units become empty, empty tables give no rows, and other columns are kept; a
-column n_chars is counted anew. Nothing shorter than a gram is ever deleted.
+texts stay null, texts that lose all units become empty (or go, if so asked), empty tables give no rows, and other
+columns are kept; a column n_chars is counted anew. Nothing shorter than a gram is ever deleted.
 """
 
 from __future__ import annotations
@@ -118,14 +118,16 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
     return a.join(b, test, how).drop(*[f"_{k}" for k in keys])
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, most_units: int = MOST_UNITS, window: int = WINDOW) -> DataFrame:
-    """docs with later repeated runs deleted from text; the columns of docs."""
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, most_units: int = MOST_UNITS, window: int = WINDOW, drop_emptied: bool = False) -> DataFrame:
+    """docs with later repeated runs deleted from text; the columns of docs. drop_emptied leaves out texts that lost all."""
     cut = runs(docs, min_words, most_units, window).groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("_cut"))
     cut = common.stored(cut, "line-cuts").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_cut")
     joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]) & (F.xxhash64(docs["text"]) == cut["_th"]), "left")
     kept = F.filter(units(F.col("text")), lambda u, i: ~F.exists("_cut", lambda c: (i >= c["start"]) & (i < c["stop"])))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
     joined = joined.withColumn("text", text)
+    if drop_emptied:
+        joined = joined.where(F.col("_cut").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)

@@ -94,6 +94,7 @@ def test_line_dedup_edges(spark):
     assert brute(got) == 0
     assert [r["n_chars"] for r in out if r["text"] is not None] == [len(t) for t in got if t is not None]
     assert lines.dedup(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in lines.dedup(docs, drop_emptied=True).collect()) == [i for i in range(len(texts)) if i != 1]
     assert lines.dedup(docs).columns == docs.columns
     again = docs.union(docs.where("doc_id = 0")).union(spark.createDataFrame([(None, a, "en", "s", 1)], DOC))
     kept = [(r["doc_id"], r["text"]) for r in lines.dedup(again).where("doc_id is null or doc_id = 0").collect()]
