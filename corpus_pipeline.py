@@ -27,7 +27,7 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, machine, docs.columns).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return quality.score(docs, machine, docs.columns, out="_folioscope_score").where(F.col("_folioscope_score") >= THRESHOLD).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,12 +14,13 @@ Queries are taken in blocks of at most BLOCK, each broadcast to the stretches of
 when blocks are dealt out), so neither side is shuffled but for the best k of each stretch.
 
 Rows with null, zero or wrong-length vectors, or with null or non-finite components take no part (the length is the
-most frequent one); null ids neither. Repeated ids are rows of their own; a query leaves out all rows of its id. Ties
-go to the smaller id. Empty tables give no rows; other columns are ignored.
+most frequent one); null ids neither. Repeated ids are rows of their own; a query leaves out all rows of its id, and
+repeated rows of a query are one query. Ties go to the smaller id. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -154,12 +155,15 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 10, most_sample: int
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "vector", "code"])
 
     index = common.stored(own.select(*held.names).mapInArrow(encode, "vec_id long, vector binary, code binary"), "mih-index")
-    asked = index.where(is_query)
+    asked = index.where(is_query).select("vec_id", "vector").distinct()
     n_blocks = max(1, -(-asked.count() * 5 // (BLOCK * 4)))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks).cast("long"))
+    block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_blocks).cast("long"))
+    largest = asked.groupBy(block.alias("block")).count().agg(F.max("count")).first()[0] or 0
+    if largest > 2 * BLOCK:  # can't be, for distinct rows under a hash
+        raise ValueError(f"a block of {largest} queries is too large to be broadcast")
     flips, out = flip_masks(), None
     for b in range(n_blocks):
-        rows = asked.where(block == b).limit(4 * BLOCK).collect()
+        rows = asked.where(block == b).collect()  # at most 2 * BLOCK, as checked
         if not rows:
             continue
         # Equal vectors are searched once; each of their ids then leaves out its own rows.
@@ -177,17 +181,17 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 10, most_sample: int
                 # What a query leaves out are rows of its own id: so many more are looked for.
                 most = k + int(np.unique(ids, return_counts=True)[1].max())
                 for raw, queries in shared.value:
-                    query = np.frombuffer(raw, np.float64)
+                    query, key = np.frombuffer(raw, np.float64), zlib.crc32(raw)
                     near = nearest(shard, shard.within(codes.encode(query[None])[0], codes.radius, flips), query, most)
                     whole = near if len(near) == most else nearest(shard, np.arange(len(ids)), query, most)
                     for q in set(queries):
                         got = [x for x in near if x[1] != q][:k]
                         if len(got) < k:
                             got = [x for x in whole if x[1] != q][:k]
-                        found += [(q, d, i) for d, i in got]
+                        found += [(q, key, d, i) for d, i in got]
                 if found:
-                    q, d, i = zip(*found, strict=True)
-                    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.float64()), pa.array(i, pa.int64())], names=["query_id", "squared", "vec_id"])
+                    q, key, d, i = zip(*found, strict=True)
+                    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(key, pa.int64()), pa.array(d, pa.float64()), pa.array(i, pa.int64())], names=["query_id", "query_key", "squared", "vec_id"])
 
             parts, n = [], 0
             for batch in batches:
@@ -200,9 +204,9 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 10, most_sample: int
             if n and (got := solve(parts)) is not None:
                 yield got
 
-        part = index.mapInArrow(run, "query_id long, squared double, vec_id long")
+        part = index.mapInArrow(run, "query_id long, query_key long, squared double, vec_id long")
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("squared", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy("squared", "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.sqrt("squared").alias("score"))

@@ -36,7 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: the lineage ends there, and no executor's loss costs it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folioscope_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing will read any more."""
+    spark, path = table.sparkSession, getattr(table, "_folioscope_path", None)
+    if path:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
@@ -47,7 +57,7 @@ def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
     return cache[key]
 
 
-def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]], schema) -> DataFrame:
     """mapInArrow of a function that is made once per task and gets at most ROWS rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,14 +120,14 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, most_units: int = MOST_UNITS, window: int = WINDOW, drop_emptied: bool = False) -> DataFrame:
     """docs with later repeated runs deleted from text; the columns of docs. drop_emptied leaves out texts that lost all."""
-    cut = runs(docs, min_words, most_units, window).groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("_cut"))
-    cut = common.stored(cut, "line-cuts").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_cut")
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]) & (F.xxhash64(docs["text"]) == cut["_th"]), "left")
-    kept = F.filter(units(F.col("text")), lambda u, i: ~F.exists("_cut", lambda c: (i >= c["start"]) & (i < c["stop"])))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    cut = runs(docs, min_words, most_units, window).groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("_folioscope_cut"))
+    cut = common.stored(cut, "line-cuts").select(F.col("id").alias("_folioscope_id"), F.col("th").alias("_folioscope_th"), "_folioscope_cut")
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_folioscope_id"]) & (F.xxhash64(docs["text"]) == cut["_folioscope_th"]), "left")
+    kept = F.filter(units(F.col("text")), lambda u, i: ~F.exists("_folioscope_cut", lambda c: (i >= c["start"]) & (i < c["stop"])))
+    text = F.when(F.col("_folioscope_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
     joined = joined.withColumn("text", text)
     if drop_emptied:
-        joined = joined.where(F.col("_cut").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+        joined = joined.where(F.col("_folioscope_cut").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)

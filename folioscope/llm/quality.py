@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm import common
 
@@ -142,19 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Machine:
     return Machine().fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], np.array([r[1] for r in rows]))
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs (doc_id alone by default) and the score of every text."""
+def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """The kept columns of docs (doc_id alone by default) and the score of every text in a column `out`."""
     keep = keep or ["doc_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())])
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.Table:
-            out = []
+            found = []
             for text in batch.column(batch.num_columns - 1):
                 z = machine.raw(*features(text.as_py()))
-                out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+                found.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*batch.schema.names[:-1], out])
 
         return work
 
-    return common.map_batches(docs.select(*keep, F.col("text").alias("_scored")), ["*"], make, schema)
+    return common.map_batches(docs.select(*keep, F.col("text").alias("_folioscope_text")), ["*"], make, schema)

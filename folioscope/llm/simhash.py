@@ -19,8 +19,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm import common
 
@@ -193,7 +194,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # Small star: each node's smaller neighbours and itself go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = common.stored(small, "links")
+        before, now = now, common.stored(small, "links")
+        common.discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
@@ -214,7 +216,9 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id; of repeated ids one row, the least by text and columns."""
+    """docs with one row of each component: that of its smallest doc_id; of repeated ids one row, the least by text, then the other columns."""
     kept = groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    others = [F.col(f.name) for f in docs.schema if f.name != "doc_id" and not isinstance(f.dataType, T.MapType | T.VariantType)]
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *others))
+    return out.withColumn("_folioscope_n", first).where("_folioscope_n = 1").select(*docs.columns)

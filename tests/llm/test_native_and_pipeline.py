@@ -150,3 +150,28 @@ def test_pipeline(spark, small):
     packed = corpus_pipeline.pack_sequences(spark, mixed, small)
     assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_stages_keep_clashing_columns(spark, small):
+    import corpus_pipeline
+    from folioscope.llm import common
+
+    docs = common.table(spark, small, "documents").limit(60)
+    for name in ("score", "th", "tokens", "copies", "fp", "g", "id", "row", "component_id"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs = common.stored(docs, "clash")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, small), "clash")
+        assert docs.where("score = 'score' and th = 'th' and g = 'g'").count() == docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() > 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, small).count() == 0
+
+
+def test_survivors_of_repeated_ids(spark):
+    from folioscope.llm import simhash
+
+    rows = spark.createDataFrame([(1, "b", "x"), (1, "b", "w"), (1, "completely different words here", "v"), (None, None, "n")], "doc_id long, text string, lang string")
+    kept = sorted(((r["doc_id"], r["text"], r["lang"]) for r in simhash.survivors(rows).collect()), key=str)
+    assert kept == [(1, "b", "w"), (None, None, "n")]
