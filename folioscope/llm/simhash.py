@@ -216,9 +216,13 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id; of repeated ids one row, the least by text, then the other columns."""
+    """docs with one row of each component: that of its smallest doc_id; of repeated ids one row (that whose text hashes least; of equal texts the least by the other columns)."""
+    row = F.xxhash64("doc_id", F.isnull("doc_id"), "text")
     kept = groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    others = [F.col(f.name) for f in docs.schema if f.name != "doc_id" and not isinstance(f.dataType, T.MapType | T.VariantType)]
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *others))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("_folioscope_row"))
+    kept = kept.join(rows, kept["doc_id"].eqNullSafe(rows["doc_id"]), "inner").groupBy(kept["doc_id"]).agg(F.min("_folioscope_row").alias("_folioscope_row")).select("_folioscope_row")
+    # The texts move once: the join and the choice among equal rows share one exchange by the row's hash.
+    out = docs.withColumn("_folioscope_row", row).join(common.stored(kept, "simhash-kept"), "_folioscope_row")
+    others = [F.col(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    first = F.row_number().over(Window.partitionBy("_folioscope_row").orderBy(*others))
     return out.withColumn("_folioscope_n", first).where("_folioscope_n = 1").select(*docs.columns)
