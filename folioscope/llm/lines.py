@@ -7,8 +7,10 @@ passage of at least `window` grams shares a kept gram with its first occurrence
 of 50 words and more with the defaults.
 
 The kept grams' hashes are joined to their first occurrence (least doc_id, then text hash, then place): one link for
-each later occurrence, never pairs. Links on one alignment of two texts are merged into runs, a run is extended unit by
-unit to both sides as long as both texts agree, and the run is deleted from the later text.
+each later occurrence, never pairs. Links on one alignment of two texts are merged into islands, islands of a text that
+touch into stretches; the first, the last and the longest island of a stretch are extended both ways, unit by unit, as
+long as both texts agree, and the stretch is deleted from the later text. At an end of a stretch less than `window`
+grams can stay, where the grams there first occurred in other texts than the rest.
 
 Rows with the same doc_id and text are one document: they lose the same units. Null ids come first in the order. Null
 texts stay null, texts that lose all units become empty (or go, if so asked), empty tables give no rows, and other
@@ -76,19 +78,30 @@ def occurrences(grams: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
 
 
 def runs(docs: DataFrame, min_words: int = MIN_WORDS, most_units: int = MOST_UNITS, window: int = WINDOW) -> DataFrame:
-    """(id, th, start, stop, src_id, src_th, src_start): later repeated runs of units with where they come from."""
+    """(id, th, start, stop, src_id, src_th, shift): later repeated runs of units, and a text that they come from."""
     grams = common.stored(gram_table(docs, min_words, most_units).dropDuplicates(["id", "th"]), "lines")
     places = occurrences(grams, window, min_words)
     first = F.min(F.struct("id", "th", "place"))
-    repeated = places.groupBy("g").agg(first.alias("first"), F.count("*").alias("c")).where("c > 1").select("g", "first")
+    # Written first, so that both sides of the join are exchanges: Spark can then split the rows of a hot gram.
+    repeated = common.stored(places.groupBy("g").agg(first.alias("first"), F.count("*").alias("c")).where("c > 1").select("g", "first"), "line-grams")
     links = places.join(repeated, "g").where(~F.struct("id", "th", "place").eqNullSafe(F.col("first")))
     links = links.select("id", "th", "place", "n", F.col("first.id").alias("src_id"), F.col("first.th").alias("src_th"), (F.col("place") - F.col("first.place")).alias("shift"))
-    links = common.stored(links, "line-links")
+    links = common.stored(links, "line-links").repartition("id", "th")
 
     line = ["id", "th", "src_id", "src_th", "shift"]
+    ahead = Window.unboundedPreceding, -1
     by = Window.partitionBy(*line).orderBy("place", "n")
-    fresh = F.col("place") > F.max(F.col("place") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    merged = links.withColumn("run", F.sum(F.when(fresh, 1).otherwise(0)).over(by)).groupBy(*line, "run").agg(F.min("place").alias("start"), F.max(F.col("place") + F.col("n")).alias("stop")).drop("run")
+    fresh = F.col("place") > F.max(F.col("place") + F.col("n")).over(by.rowsBetween(*ahead))
+    islands = links.withColumn("run", F.sum(F.when(fresh, 1).otherwise(0)).over(by)).groupBy(*line, "run").agg(F.min("place").alias("start"), F.max(F.col("place") + F.col("n")).alias("stop")).drop("run")
+    # Islands of a text that touch, whatever their sources, make one stretch; it grows by its first, last and longest island.
+    by = Window.partitionBy("id", "th").orderBy("start", "stop", "src_id", "src_th", "shift")
+    fresh = F.col("start") > F.max("stop").over(by.rowsBetween(*ahead))
+    link = F.struct("src_id", "src_th", "shift", "start", "stop")
+    order = [F.col(c) for c in line[2:]]
+    stretches = islands.withColumn("run", F.sum(F.when(fresh, 1).otherwise(0)).over(by)).groupBy("id", "th", "run").agg(
+        F.min("start").alias("low"), F.max("stop").alias("high"), F.min_by(link, F.struct("start", -F.col("stop"), *order)).alias("first"),
+        F.max_by(link, F.struct("stop", -F.col("start"), *order)).alias("last"), F.max_by(link, F.struct(F.col("stop") - F.col("start"), *order)).alias("longest"),
+    )
 
     reach = most_units + window
     around = lambda a, b: (
@@ -96,16 +109,25 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS, most_units: int = MOST_UNI
         F.slice("h", b + 1, F.lit(reach)),
     )
     own = grams.select("id", "th", "h")
+    ends = _join(stretches, own, ["id", "th"]).select("id", "th", "low", "high", "h", F.explode(F.array_distinct(F.array("first", "last", "longest"))).alias("link")).select("id", "th", "low", "high", "h", "link.*")
     left, right = around(F.col("start"), F.col("stop"))
-    merged = _join(merged, own, ["id", "th"]).select(*line, "start", "stop", left.alias("left"), right.alias("right"))
+    ends = ends.select("id", "th", "low", "high", "src_id", "src_th", "shift", "start", "stop", left.alias("left"), right.alias("right"))
+    both = _join(ends, own.select(F.col("id").alias("src_id"), F.col("th").alias("src_th"), "h"), ["src_id", "src_th"])
     src_left, src_right = around(F.col("start") - F.col("shift"), F.col("stop") - F.col("shift"))
-    both = _join(merged, own.select(F.col("id").alias("src_id"), F.col("th").alias("src_th"), "h"), ["src_id", "src_th"])
-    same = lambda a, b: F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + F.when(s["on"] & F.coalesce(x["a"] == x["b"], F.lit(False)), 1).otherwise(0)).alias("n"), (s["on"] & F.coalesce(x["a"] == x["b"], F.lit(False))).alias("on")))["n"]
-    both = both.select(*line, "start", "stop", "left", "right", src_left.alias("src_left"), src_right.alias("src_right"))
-    back, on = same(F.col("left"), F.col("src_left")), same(F.col("right"), F.col("src_right"))
+    both = both.select("id", "th", "low", "high", "src_id", "src_th", "shift", "start", "stop", "left", "right", src_left.alias("src_left"), src_right.alias("src_right"))
+    start, stop = F.col("start") - _agreeing(F.col("left"), F.col("src_left")), F.col("stop") + _agreeing(F.col("right"), F.col("src_right"))
     # A deleted unit's copy stands earlier in the order, so the first copy of every unit stays, in one text too.
-    start = F.col("start") - back
-    return both.select("id", "th", start.alias("start"), (F.col("stop") + on).alias("stop"), "src_id", "src_th", (start - F.col("shift")).alias("src_start"))
+    return both.select("id", "th", F.least(start, "low").alias("start"), F.greatest(stop, "high").alias("stop"), "src_id", "src_th", "shift")
+
+
+def _agreeing(a: F.Column, b: F.Column) -> F.Column:
+    """How many units two arrays share from their starts on."""
+
+    def step(s, x):
+        on = s["on"] & F.coalesce(x["a"] == x["b"], F.lit(False))
+        return F.struct((s["n"] + F.when(on, 1).otherwise(0)).alias("n"), on.alias("on"))
+
+    return F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step)["n"]
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
