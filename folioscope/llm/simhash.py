@@ -50,17 +50,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row; fp holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, kept long columns, fp long) of every row; fp holds the 64 bits as a signed number."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(got)], names=["doc_id", *keep, "fp"])
 
         return work
 
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], make, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *keep, "fp"))
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text", *keep), ["doc_id", "text", *keep], make, schema)
 
 
 class BKTree:
@@ -216,11 +217,22 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id; of repeated ids one row (that whose text hashes least; of equal texts the least by the other columns)."""
+    """docs with one row of each component: that of its smallest doc_id (a null one only where no other is); of more rows with that id the one whose text hashes least, of equal texts the least by the other columns. An id in several components keeps a row of each."""
     row = F.xxhash64("doc_id", F.isnull("doc_id"), "text")
-    kept = groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("_folioscope_row"))
-    kept = kept.join(rows, kept["doc_id"].eqNullSafe(rows["doc_id"]), "inner").groupBy(kept["doc_id"]).agg(F.min("_folioscope_row").alias("_folioscope_row")).select("_folioscope_row")
+    rows = common.stored(fingerprints(docs.withColumn("_folioscope_row", row), "_folioscope_row"), "simhash")
+    classes = rows.groupBy("fp").agg(_first_row())
+    found = components(links(classes.select("fp")))
+    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    return _rows_of(docs, row, rooted)
+
+
+def _first_row() -> F.Column:
+    return F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_folioscope_row")).alias("first")
+
+
+def _rows_of(docs: DataFrame, row: F.Column, rooted: DataFrame) -> DataFrame:
+    """The rows of docs that stand first under their root in rooted (root, first)."""
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._folioscope_row").alias("_folioscope_row"))
     # The texts move once: the join and the choice among equal rows share one exchange by the row's hash.
     out = docs.withColumn("_folioscope_row", row).join(common.stored(kept, "simhash-kept"), "_folioscope_row")
     others = [F.col(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]

@@ -177,3 +177,16 @@ def test_survivors_of_repeated_ids(spark):
     assert kept in ([(1, "b", "w"), (None, None, "n")], [(1, "completely different words here", "v"), (None, None, "n")])
     same = simhash.survivors(rows.where("text = 'b'")).collect()
     assert [(r["doc_id"], r["text"], r["lang"]) for r in same] == [(1, "b", "w")]
+
+
+def test_survivors_keep_every_component(spark):
+    from folioscope.llm import simhash
+
+    rng = random.Random(8)
+    texts = [words(rng, 30) for _ in range(40)]
+    rows = [(None, t) for t in texts[:20]] + [(7, t) for t in texts[20:30]] + [(i, t) for i, t in enumerate(texts[30:], 100)]
+    rows += [(None, texts[30]), (3, texts[20]), (None, texts[0])]
+    got = simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got) == sorted(texts)
+    ids = {r["text"]: r["doc_id"] for r in got}
+    assert (ids[texts[0]], ids[texts[20]], ids[texts[21]], ids[texts[30]]) == (None, 3, 7, 100)
