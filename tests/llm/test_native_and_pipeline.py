@@ -190,3 +190,42 @@ def test_survivors_keep_every_component(spark):
     assert sorted(r["text"] for r in got) == sorted(texts)
     ids = {r["text"]: r["doc_id"] for r in got}
     assert (ids[texts[0]], ids[texts[20]], ids[texts[21]], ids[texts[30]]) == (None, 3, 7, 100)
+
+
+def test_survivors_equal_brute_force_jaccard(spark):
+    from folioscope.llm import simhash
+
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        own = words(rng, rng.randrange(40, 400)).split()
+        texts.append(" ".join(own))
+        for _ in range(k % 4):
+            near = list(own)
+            for _ in range(max(1, len(own) * (k % 5) // 150)):
+                near[rng.randrange(len(near))] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(near))
+    texts += [None, "", " ", "one", "One", "two words"]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                linked += 1
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert linked > 50
+    docs = frame(spark, texts)
+    got = sorted(r["doc_id"] for r in simhash.survivors(docs).collect())
+    assert got == sorted(set(root)) != sorted(range(len(texts)))
+    old = simhash.MOST
+    try:
+        simhash.MOST = 2  # components as pairs of trees
+        assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == got
+    finally:
+        simhash.MOST = old
