@@ -1,15 +1,15 @@
 """Mixing sources to target weights by soft membership, with DataFrame operations alone.
 
 A classifier fitted on labelled rows (naive Bayes over hashed words) gives every document a posterior over domains;
-its evidence counts as that of EVIDENCE average words, so memberships stay soft. Document rates r >= 0 are then fitted
-by projected gradient descent on sum_k (sum_d r_d t_d p_dk - goal_k)^2 / T_k, with t the tokens and T_k the domain's
-tokens at rate 1: in the metric of t a step of 1 is safe, since the operator is a product of two averagings. Each
-step projects onto r >= least (0, or 1 where no document may go) and is one aggregation of K sums over a written table
-of (tokens, posteriors); only those K numbers reach the driver.
+its evidence counts as that of EVIDENCE average words, so memberships stay soft. Document rates r >= least (0, or 1
+where no document may go) are those nearest to 1, in squares weighed by tokens, that meet the targets: the rate is
+max(least, 1 + sum_k a_k p_dk), and the K numbers a are fitted by Newton steps, shortened or replaced by safe ones where they overshoot. Each step is one aggregation
+of K sums and their K * K derivatives over a written table of (tokens, posteriors); only those numbers reach the driver.
 
 The goal is target weight times a total: by default the least total at which no domain shrinks, so every document is
-kept and scarce domains repeat. Rates are fitted for expected totals, to 1e-5 of the whole or for 12 steps; copies()
-rounds them by a hash of the row.
+kept and scarce domains repeat. At a least rate of 1 the default holds the shares alone, since soft documents that
+repeat add to every domain. Rates are fitted for expected totals, to 1e-5 of the whole; a miss (targets that no rates
+meet) gives a warning. copies() rounds them by a hash of the row.
 
 At most `most` labelled rows (those with the least hashes) are used for fitting, a documented bound. Rows with a null
 text have no tokens and get rate 1; a null or unknown domain isn't learnt from; repeated rows count each; an empty
@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,24 +74,50 @@ def posteriors(docs: DataFrame, shares: dict[str, list[float]], keep: list[str])
     return own.select(*keep, "tokens", *[(F.col(f"_e{k}") / total).alias(f"p_{d}") for k, d in enumerate(shares)])
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None = None, least: float = 0.0, most_steps: int = 12, tolerance: float = 1e-5) -> F.Column:
-    """The rate of a row as an expression over tokens and p_<domain>; soft should be a written table."""
-    p = [F.col(f"p_{d}") for d in targets]
-    weigh = lambda r: [float(x or 0.0) for x in soft.agg(*[F.sum(F.col("tokens") * q * r) for q in p]).first()]
-    rate = F.lit(1.0)
-    base = weigh(rate)
+def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None = None, least: float = 0.0, most_steps: int = 60, tolerance: float = 1e-5) -> F.Column:
+    """The rate of a row as an expression over tokens and p_<domain>; soft should be a written table. Warns of targets that aren't met."""
+    p, n = [F.col(f"p_{d}") for d in targets], len(targets)
+    weight = F.col("tokens").cast("double")
     share = sum(targets.values())
-    total = total or max([t * share / w for t, w in zip(base, targets.values(), strict=True) if w > 0], default=0.0)
-    goal = [total * w / share for w in targets.values()]
-    now = base
-    for _ in range(most_steps):
-        step = [(a - g) / t if t else 0.0 for a, g, t in zip(now, goal, base, strict=True)]
-        if max((abs(a - g) / max(1.0, total) for a, g in zip(now, goal, strict=True)), default=0.0) <= tolerance:
-            break
-        move = sum((q * s for q, s in zip(p[1:], step[1:], strict=True)), p[0] * step[0])
-        rate = F.greatest(F.lit(float(least)), rate - move)
-        now = weigh(rate)
-    return F.when(F.col("tokens") > 0, rate).otherwise(1.0)
+    want = np.array([w / share for w in targets.values()])
+    base = np.array([float(x or 0.0) for x in soft.agg(*[F.sum(weight * q) for q in p]).first()])
+    # With every rate at least 1 no domain shrinks whatever the total is, so only the shares are held.
+    free = total is None and least >= 1
+    total = total or max([t / w for t, w in zip(base, want, strict=True) if w > 0 and t > 0], default=0.0)
+    goal = np.zeros(n) if free else total * want
+    q = [x - F.lit(float(w)) for x, w in zip(p, want, strict=True)] if free else p
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def rate_of(at: np.ndarray):
+        raw = sum((x * F.lit(float(a)) for x, a in zip(q[1:], at[1:], strict=True)), F.lit(1.0) + q[0] * F.lit(float(at[0])))
+        return raw, F.greatest(F.lit(float(least)), raw)
+
+    def look(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """The dual function, its slope, its curvature, and the largest miss as a share of the tokens."""
+        raw, rate = rate_of(at)
+        free_row = raw >= F.lit(float(least))
+        value = F.sum(weight * F.when(free_row, raw * raw / 2).otherwise(raw * least - least * least / 2))
+        sums = [F.sum(weight * rate * x) for x in q] + [F.sum(F.when(free_row, weight * q[i] * q[j]).otherwise(0.0)) for i, j in pairs]
+        got = [float(x or 0.0) for x in soft.agg(value, F.sum(weight * rate), *sums).first()]
+        slope, curve = np.array(got[2 : n + 2]) - goal, np.zeros((n, n))
+        for (i, j), x in zip(pairs, got[n + 2 :], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return got[0] - float(goal @ at), slope, curve, float(abs(slope).max()) / max(1.0, got[1] if free else total)
+
+    at = np.zeros(n)
+    value, slope, curve, miss = look(at)
+    steps, ridge = 1, 1e-9 * max(1.0, float(base.sum()))
+    whole = curve + ridge * np.eye(n)  # at rates of 1 every row counts: no curvature is above this one, so its step is safe
+    while miss > tolerance and steps < most_steps:
+        move = -np.linalg.solve(curve + ridge * np.eye(n), slope)
+        for ahead in [move, move / 2, move / 4, move / 8, -np.linalg.solve(whole, slope)]:
+            tried, steps = look(at + ahead), steps + 1
+            if tried[0] <= value + 1e-4 * float(slope @ ahead) or tried[3] <= tolerance:
+                break
+        at, (value, slope, curve, miss) = at + ahead, tried
+    if miss > tolerance:
+        warnings.warn(f"mixing: a domain misses its target by {miss:.6f} of the tokens after {steps} steps", stacklevel=2)
+    return F.when(F.col("tokens") > 0, rate_of(at)[1]).otherwise(1.0)
 
 
 def copies(rate, *keys: str) -> F.Column:

@@ -229,3 +229,27 @@ def test_survivors_equal_brute_force_jaccard(spark):
         assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == got
     finally:
         simhash.MOST = old
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_rates_of_a_skewed_corpus_meet_targets(spark, least):
+    rng, kinds = random.Random(10), list(mixing.TARGETS)
+    rows = []
+    for i in range(2000):
+        own = kinds[0] if i % 33 else kinds[1 + i // 33 % 3]
+        spread = rng.uniform(0.1, 0.3)
+        cut = sorted(rng.random() for _ in range(2))
+        rest = iter([cut[0] * spread, (cut[1] - cut[0]) * spread, (1 - cut[1]) * spread])
+        rows.append((rng.randrange(5, 400), *[1 - spread if k == own else next(rest) for k in kinds]))
+    soft = spark.createDataFrame(rows, "tokens long, " + ", ".join(f"p_{k} double" for k in kinds))
+    got = soft.withColumn("rate", mixing.fit_rates(soft, mixing.TARGETS, least=least)).toPandas()
+    assert (got.rate >= least).all()
+    sums = {k: (got.tokens * got[f"p_{k}"] * got.rate).sum() for k in kinds}
+    for k, w in mixing.TARGETS.items():
+        assert sums[k] / sum(sums.values()) == pytest.approx(w, abs=1e-4)
+
+
+def test_missed_targets_are_reported(spark):
+    soft = spark.createDataFrame([(10, 1.0, 0.0), (20, 1.0, 0.0)], "tokens long, p_en double, p_de double")
+    with pytest.warns(UserWarning, match="misses its target"):
+        mixing.fit_rates(soft, {"en": 0.5, "de": 0.5}, least=1.0)
