@@ -162,7 +162,7 @@ def research_reduce(spark, d):
     own = table(spark, d, "pages").select((F.col("page_id") % 40).cast("int").alias("n"), "page_id", F.when(failed, "ERROR: gone").otherwise("text").alias("text"))
     good = ~F.col("text").startswith("ERROR")
     ids = F.sort_array(F.collect_list(F.when(good, F.col("page_id"))))
-    return own.groupBy("n").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
+    return own.groupBy("n").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), F.when(F.count_if(good) > 0, F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("ids"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, CAST(user_id % 10 AS BIGINT) AS source, count(*) AS updates, max(ts) AS newest FROM events GROUP BY 1, 2")
