@@ -250,13 +250,59 @@ def test_search_recall_and_order(spark):
     assert ann.search(vectors.limit(0), F.lit(True)).count() == 0
 
 
-def test_shard_probes_equal_a_scan():
+@pytest.mark.parametrize(("width", "most"), [(8, 40), (16, 64), (8, 10**6)])
+def test_probes_of_parts_equal_a_scan(width, most):
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
-    shard, flips = ann.Shard(np.arange(500), np.zeros((500, 2)), codes), ann.flip_masks()
+    codes[100:400, :2] = 7  # hot buckets
+    m, rows = 64 // width, np.arange(500)
+    values = codes if width == 8 else codes.view(np.uint16)
+    layout = ann.Layout(width, np.stack([np.bincount(v, minlength=1 << width) for v in values.T]), most)
+    own = [layout.parts_of_row(v, int(r)) for v, r in zip(values, rows, strict=True)]
+    parts = {p: ann.Part(layout, p, rows[held], rows[held], np.zeros((len(held), 2)), codes[held]) for p in range(layout.parts) if (held := [r for r in rows if p in own[r]])}
+    assert all(sum(len(order) for order, _, _ in p.entries) <= most for p in parts.values())
+    assert {r for p in range(layout.first_table) if p in parts for r in parts[p].rows.tolist()} == set(range(500))
     for radius in (0, 3, 8, 17, 26, 33, 64):
+        reach = ann.reaches(radius, m)
         want = np.flatnonzero(np.unpackbits(codes ^ codes[5], axis=1).sum(1) <= radius)
-        assert shard.within(codes[5], radius, flips).tolist() == want.tolist()
+        got = {r for p in layout.parts_of_query(values[5], reach) if p in parts for r in parts[p].rows[parts[p].within(codes[5], radius, reach)].tolist()}
+        assert sorted(got) == want.tolist()
+
+
+def recall(got, x, queries):
+    hits = 0
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(1)
+        order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        hits += len(set(got[got.query_id == q].vec_id) & set(order))
+    return hits / (10 * len(queries))
+
+
+def test_search_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 32))
+    x = centres[rng.integers(0, 200, 20_000)] + 0.25 * rng.normal(size=(20_000, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumns({"row": F.lit("x"), "part": F.lit(1), "code": F.lit(2)})
+    seen = []
+    own = ann.radius_of
+    monkeypatch.setattr(ann, "radius_of", lambda *a: seen.append(own(*a)) or seen[-1])
+    got = ann.search(vectors, F.col("vec_id") % 500 == 0, part=4000).toPandas()
+    assert recall(got, x, range(0, 20_000, 500)) >= 0.9
+    codes = ann.Codes(x[:8192])
+    mine = codes.encode(x)
+    share = np.mean([(ann.far(mine, mine[q]) <= seen[0]).mean() for q in range(0, 20_000, 500)])
+    assert share < 0.02  # the radius covers few other rows
+
+
+def test_search_falls_back_for_lone_queries(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.ones((300, 8)) + 0.01 * rng.normal(size=(300, 8)), -5 * np.eye(8)[:1]])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(vectors, F.col("vec_id") == 300).toPandas()
+    assert recall(got, x, [300]) == 1.0
+    twice = ann.search(vectors.union(vectors), F.col("vec_id") == 300).toPandas().sort_values("rank")
+    assert twice["rank"].tolist() == list(range(1, 11))
+    assert (twice.vec_id.value_counts() == 2).all()  # repeated ids are rows of their own
 
 
 # ---- pages ----
