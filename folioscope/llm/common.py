@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         cached = getattr(sys, "_folioscope_shared", None)
         if cached is None:
             cached = sys._folioscope_shared = "file://" + tempfile.mkdtemp(prefix="folioscope-")
@@ -32,21 +35,58 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage ends there, and no executor's loss costs it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder and reads it again: the lineage ends there, and no executor's loss costs it.
+
+    The files go with discard(), at the end of a scratch() block, or when the application ends.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
     out._folioscope_path = path
+    for block in _blocks[-1:]:
+        block.append(out)
     return out
 
 
 def discard(table: DataFrame) -> None:
     """Deletes the files of a stored table that nothing will read any more."""
-    spark, path = table.sparkSession, getattr(table, "_folioscope_path", None)
+    path = getattr(table, "_folioscope_path", None)
     if path:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _file_system(table.sparkSession, path)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+        table._folioscope_path = None
+
+
+_blocks: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Discards at its end what was stored inside, but for keep(table)."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for table in _blocks.pop():
+            discard(table)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Takes a stored table out of the innermost scratch block, into the one around it."""
+    if _blocks:
+        _blocks[-1][:] = [t for t in _blocks[-1] if t is not table]
+        for block in _blocks[-2:-1]:
+            block.append(table)
+    return table
 
 
 def worker_cache(key: Any, make: Callable[[], Any]) -> Any:

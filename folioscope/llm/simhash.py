@@ -3,9 +3,10 @@
 Fingerprints within `radius` bits agree in at least five-less-radius of five blocks (two of five for radius 3), so
 each distinct fingerprint goes to one shard for every pair of blocks; every link lies in one of those shards, whatever
 else they hold. A shard builds a BK-tree (children keyed by their Hamming distance to the parent) and each fingerprint
-follows only edges within the radius. A shard above MOST fingerprints is dealt out as trees of at most MOST, each
-shipped to the pieces of the same shard: no tree grows with the data, and none passes through the driver. A shard
-returns a spanning forest of its links, which joins the same fingerprints as all its links would.
+follows only edges within the radius. A shard above MOST fingerprints is split by four pieces of the bits that its
+members need not share, one of which any linked pair agrees in; what is still above MOST is dealt out as trees of at most
+MOST, each shipped to the pieces of the same shard: no tree grows with the data, and none passes through the driver. A
+shard returns a spanning forest of its links, which joins the same fingerprints as all its links would.
 
 survivors(), the pipeline's stage, links texts by the exact Jaccard similarity of their sets of five-word shingles, 0.8 or
 more. Pairs of 0.8 lie about 10 bits apart, too far for blocks of 64 bits, so candidates come from bands of minima of
@@ -15,7 +16,8 @@ pairs of trees as above; texts without words are alike.
 Components come from alternating large-star and small-star steps on those edges, cut by written tables.
 
 Nulls and empty texts have fingerprint 0 and are linked like any other; repeated rows are members one by one; a null
-doc_id stays null and never is a component's smallest id. Empty tables give no rows; other columns are ignored.
+doc_id stays null and never is a component's smallest id. Very long texts are hashed whole, in pieces. Ties between rows
+of one fingerprint or text go to the smaller doc_id. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,19 +144,37 @@ def forest(tree_values: list[int], probes: list[int], radius: int) -> list[tuple
     return edges
 
 
+def _packed(blocks, fp: F.Column) -> F.Column:
+    """The bits of some blocks as one number."""
+    out = F.lit(0).cast("long")
+    for at, bits in blocks:
+        out = F.shiftleft(out, bits).bitwiseOR(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+    return out
+
+
+def shards(distinct: DataFrame) -> DataFrame:
+    """(fp, shard): each fingerprint in a shard for every pair of blocks; the rows of a large shard in four smaller ones instead.
+
+    Two linked fingerprints of a shard differ in at most three of the other blocks' bits, so they agree in one of four pieces of these.
+    """
+    fp, keys = F.col("fp"), []
+    for n, pair in enumerate(combinations(BLOCKS, len(BLOCKS) - RADIUS)):
+        rest = _packed([b for b in BLOCKS if b not in pair], fp)
+        keys.append(F.struct(F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(_packed(pair, fp)).alias("shard"), rest.alias("rest")))
+    dealt = common.stored(distinct.select("fp", F.inline(F.array(*keys))), "simhash-shards")
+    large = dealt.groupBy("shard").count().where(F.col("count") > MOST).select("shard", F.lit(True).alias("large"))
+    if large.isEmpty():
+        return dealt.select("fp", "shard")
+    pieces = [F.xxhash64("shard", F.lit(k), F.shiftrightunsigned("rest", 10 * k).bitwiseAND(F.lit(1023).cast("long"))) for k in range(RADIUS + 1)]
+    split = dealt.join(large, "shard", "left").select("fp", F.explode(F.when(F.col("large"), F.array(*pieces)).otherwise(F.array("shard"))).alias("shard"))
+    return common.stored(split, "simhash-shards")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that join what all links among the distinct fingerprints (fp) join."""
-    fp = F.col("fp")
-    keys = []
-    for n, pair in enumerate(combinations(BLOCKS, len(BLOCKS) - RADIUS)):
-        parts, width = F.lit(n).cast("long"), 0
-        for at, bits in pair:
-            parts = F.shiftleft(parts, bits).bitwiseOR(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
-            width += bits
-        keys.append(parts)
-    dealt = common.stored(distinct.select("fp", F.explode(F.array(*keys)).alias("shard")), "simhash-shards")
+    dealt = shards(distinct)
     large = dealt.groupBy("shard").count().where(F.col("count") > MOST).select("shard", F.ceil(F.col("count") / (MOST // 2)).cast("int").alias("trees"))
-    # A shard of ordinary size is one cell; of a large one each pair of trees is a cell.
+    # A shard of ordinary size is one cell; of one that is still large each pair of trees is a cell.
     own = F.pmod(F.xxhash64("fp"), F.col("trees").cast("long")).cast("int")
     cells = dealt.join(large, "shard", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("trees") - 1, F.lit(0)))))
     cells = cells.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp")
@@ -197,11 +217,14 @@ def _with_end(batches):
     yield None
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each node's component, for nodes that have an edge and aren't that smallest node."""
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the smallest node of each node's component, for nodes that have an edge and aren't that smallest node.
+
+    Goes on until a round changes nothing, which takes about the square of the logarithm of the longest path's length.
+    """
     now = common.stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         # Large star: each node's larger neighbours go to the smallest of its neighbours and itself.
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -199,11 +199,41 @@ def test_simhash_components(spark, monkeypatch):
     got = {r["doc_id"]: r for r in simhash.groups(docs_of(spark, texts)).collect()}
     assert [got[i]["fp"] & (1 << 64) - 1 for i in range(len(texts))] == prints
     assert [got[i]["component_id"] for i in range(len(texts))] == roots
-    left = simhash.survivors(docs_of(spark, texts).withColumn("fp", F.lit(1)))
-    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(roots))
+    assert simhash.survivors(docs_of(spark, texts).withColumn("fp", F.lit(1))).columns == ["doc_id", "text", "fp"]
     assert simhash.groups(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_simhash_of_a_very_long_text(spark):
+    rng = random.Random(10)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(150_000))
+    prints, _ = brute_components([long])
+    got = simhash.groups(docs_of(spark, [long, long + " tail", "x"])).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["fp"] & (1 << 64) - 1 == prints[0]
+    assert by[1]["component_id"] == 0
+    assert by[2]["component_id"] == 2
+
+
+def test_split_shards_keep_every_link(spark, monkeypatch):
+    """One hot shard: all fingerprints agree in two blocks, and links lie in any of the other bits."""
+    rng = random.Random(11)
+    values = {rng.getrandbits(38) << 26 | 5 for _ in range(300)}
+    for v in list(values)[:100]:
+        values.add(v ^ 1 << rng.randrange(26, 64) ^ 1 << rng.randrange(26, 64) ^ 1 << rng.randrange(26, 64))
+    values = sorted(values)
+    monkeypatch.setattr(simhash, "MOST", 64)
+    edges = simhash.links(spark.createDataFrame([(v - (v >> 63 << 64),) for v in values], "fp long"))
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    signed = [v - (v >> 63 << 64) for v in values]
+    root = {v: v for v in signed}
+    for i, a in enumerate(values):
+        for j in range(i):
+            if (a ^ values[j]).bit_count() <= 3:
+                old, new = max(root[signed[i]], root[signed[j]]), min(root[signed[i]], root[signed[j]])
+                root = {k: new if r == old else r for k, r in root.items()}
+    assert {k: r for k, r in root.items() if k != r} == got
+
+
 def test_bk_tree_finds_all_within_radius():
     rng = random.Random(9)
     values = list({rng.getrandbits(12) for _ in range(400)})
