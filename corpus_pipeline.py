@@ -56,10 +56,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; what a stage has read goes once its result is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with common.scratch():
+            docs = common.keep(common.stored(stage(spark, before, sf_dir), name.replace(" ", "-")))
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
