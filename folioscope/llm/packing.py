@@ -3,10 +3,12 @@
 Documents stay in the order of their partition. A sequence is a run of at most `window` tokens between two
 cuts; cuts may stand after a document (free), after a sentence (sentence_penalty tokens) or, where neither
 comes for a long time, on a grid (hard_penalty tokens). The cost of a sequence is its padding, none if its
-length is a power of two; the sum of padding and penalties is minimal over each stretch of SEGMENT windows.
+length is a power of two; the sum of padding and penalties is minimal over each stretch of SEGMENT windows. Of equal
+costs the longest sequence that the queue holds is taken, so a run gives the same cuts again.
 
 Nulls: a null text is empty and gives the end id alone; a null doc_id is carried through. Repeated rows are
-packed one by one. Empty tables give no rows. Other columns of the input are ignored.
+packed one by one. Very long texts are cut like others, and the newest one is held whole. Empty tables give no rows.
+Other columns of the input are ignored.
 
 Sequences never span partitions, so nothing is shuffled and each task holds one stretch of documents. The
 numbering is sequence_id = partition * 2**32 + running number: a lost task gives the same rows again because
@@ -54,22 +56,26 @@ def best_cuts(pos: list[int], pen: list[float], window: int) -> list[int]:
     came = [0] * len(pos)
     key = [0.0] * len(pos)
     key[0] = pos[0]
-    at = {pos[0]: 0}
     queue = deque([0])
-    half, quarter = window // 2, window // 4
+    # By cut, the cuts that stand a power of two before it: a sequence between them has no padding.
+    free: dict[int, list[int]] = {}
+    places = np.asarray(pos)
+    for power in (1 << k for k in range(window.bit_length()) if 1 << k < window):
+        before = np.searchsorted(places, places - power)
+        for j in np.flatnonzero(places[before] == places - power).tolist():
+            free.setdefault(j, []).append(int(before[j]))
     for j in range(1, len(pos)):
         p = pos[j]
         while p - pos[queue[0]] > window:
             queue.popleft()
         i = queue[0]
         cost = key[i] + window - p
-        for short in (half, quarter):
-            k = at.get(p - short)
-            if k is not None and total[k] < cost:
-                cost, i = total[k], k
+        if j in free:
+            for k in free[j]:
+                if total[k] < cost:
+                    cost, i = total[k], k
         cost += pen[j]
         total[j], came[j], key[j] = cost, i, cost + p
-        at[p] = j
         k = cost + p
         while queue and key[queue[-1]] >= k:
             queue.pop()

@@ -46,10 +46,15 @@ class Encoder:
 
     def words(self, text: str) -> tuple[list[str], list[bytes]] | None:
         """Words and their ids, newlines as words of their own; None for a text that must be encoded whole."""
-        if not text or "<|" in text or text.split() != text.replace("\n", " ").split(" "):
+        if not text or "<|" in text:
             return None
-        words: list[str] = []
-        ids: list[bytes] = []
+        # As many separators as words have gaps, each one blank or newline and one character long.
+        words, breaks = text.split(), text.count("\n")
+        if text.count(" ") + breaks != len(words) - 1 or sum(map(len, words)) + len(words) - 1 != len(text):
+            return None
+        if not breaks:
+            return words, [self.first[words[0]], *map(self.rest.__getitem__, words[1:])]
+        words, ids = [], []
         for line in text.split("\n"):
             if words:
                 words.append("\n")

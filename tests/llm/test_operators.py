@@ -40,7 +40,7 @@ def test_best_cuts_is_optimal():
             pen.append(rng.choice([0.0, 1.0, 5.0]))
 
         def padding(n, w=window):
-            return 0 if n in (w // 2, w // 4) else w - n
+            return 0 if n & (n - 1) == 0 else w - n
 
         best = [0.0] + [float("inf")] * (len(pos) - 1)
         for j in range(1, len(pos)):
@@ -68,6 +68,10 @@ def test_packing_round_trip(spark):
         assert own.offset.tolist() == np.cumsum([0, *own.length])[:-1].tolist()
         assert own.length.sum() <= 2048
     assert packing.pack(docs_of(spark, ["a"]).limit(0), PATH).count() == 0
+    twice = docs_of(spark, ["same text here."]).union(docs_of(spark, ["same text here."])).union(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    again = packing.pack(twice.coalesce(1), PATH).toPandas()
+    assert again.doc_id.isna().sum() == 1
+    assert again.groupby("doc_id").length.sum().tolist() == [2 * again[again.doc_id == 0].doc_tokens.iloc[0]]
 
 
 # ---- media ----
