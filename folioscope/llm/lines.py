@@ -12,9 +12,15 @@ touch into stretches; the first, the last and the longest island of a stretch ar
 long as both texts agree, and the stretch is deleted from the later text. At an end of a stretch less than `window`
 grams can stay, where the grams there first occurred in other texts than the rest.
 
+An extension looks at most_units + window units each way, which is as far as any can lead: if the last most_units units of
+a run hold a word, the gram that begins with them is one of `window` neighbours that lie in the run whole, so both texts
+keep one of these, and it ends less than most_units + window units before the run does. If they hold none, they are blank.
+
 Rows with the same doc_id and text are one document: they lose the same units. Null ids come first in the order. Null
 texts stay null, texts that lose all units become empty (or go, if so asked), empty tables give no rows, and other
-columns are kept; a column n_chars is counted anew. Nothing shorter than a gram is ever deleted.
+columns are kept; a column n_chars is counted anew. Nothing shorter than a gram is ever deleted: a run of min_words words,
+or of most_units units with a word where lines are short. Ties between equal grams go to the least place of the order;
+very long texts are one row, and all their units are compared.
 """
 
 from __future__ import annotations

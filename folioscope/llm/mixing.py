@@ -11,9 +11,13 @@ kept and scarce domains repeat. At a least rate of 1 the default holds the share
 repeat add to every domain. Rates are fitted for expected totals, to 1e-5 of the whole; a miss (targets that no rates
 meet) gives a warning. copies() rounds them by a hash of the row.
 
-At most `most` labelled rows (those with the least hashes) are used for fitting, a documented bound. Rows with a null
-text have no tokens and get rate 1; a null or unknown domain isn't learnt from; repeated rows count each; an empty
-table gives no rows; other columns are kept.
+A domain with a share s of the tokens and a target w repeats about w / s times: nothing bounds that, as targets are to be
+met, but a rate above FREQUENT gives a warning that names it.
+
+At most `most` labelled rows (those with the least hashes, ties by doc_id) are used for fitting, a documented bound. Rows
+with a null text have no tokens and get rate 1; a null or unknown domain isn't learnt from; repeated rows count each, with
+the same rate and the same number of copies; very long texts count whole; an empty table gives no rows; other columns are
+kept.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from folioscope.llm import common
 
 BUCKETS = 4096
 EVIDENCE = 12
+FREQUENT = 100
 TARGETS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
 
 
@@ -92,20 +97,20 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None =
         raw = sum((x * F.lit(float(a)) for x, a in zip(q[1:], at[1:], strict=True)), F.lit(1.0) + q[0] * F.lit(float(at[0])))
         return raw, F.greatest(F.lit(float(least)), raw)
 
-    def look(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
-        """The dual function, its slope, its curvature, and the largest miss as a share of the tokens."""
+    def look(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float, float]:
+        """The dual function, its slope, its curvature, the largest miss as a share of the tokens, and the largest rate."""
         raw, rate = rate_of(at)
         free_row = raw >= F.lit(float(least))
         value = F.sum(weight * F.when(free_row, raw * raw / 2).otherwise(raw * least - least * least / 2))
         sums = [F.sum(weight * rate * x) for x in q] + [F.sum(F.when(free_row, weight * q[i] * q[j]).otherwise(0.0)) for i, j in pairs]
-        got = [float(x or 0.0) for x in soft.agg(value, F.sum(weight * rate), *sums).first()]
-        slope, curve = np.array(got[2 : n + 2]) - goal, np.zeros((n, n))
-        for (i, j), x in zip(pairs, got[n + 2 :], strict=True):
+        got = [float(x or 0.0) for x in soft.agg(value, F.sum(weight * rate), F.max(rate), *sums).first()]
+        slope, curve = np.array(got[3 : n + 3]) - goal, np.zeros((n, n))
+        for (i, j), x in zip(pairs, got[n + 3 :], strict=True):
             curve[i, j] = curve[j, i] = x
-        return got[0] - float(goal @ at), slope, curve, float(abs(slope).max()) / max(1.0, got[1] if free else total)
+        return got[0] - float(goal @ at), slope, curve, float(abs(slope).max()) / max(1.0, got[1] if free else total), got[2]
 
     at = np.zeros(n)
-    value, slope, curve, miss = look(at)
+    value, slope, curve, miss, most_often = look(at)
     steps, ridge = 1, 1e-9 * max(1.0, float(base.sum()))
     whole = curve + ridge * np.eye(n)  # at rates of 1 every row counts: no curvature is above this one, so its step is safe
     while miss > tolerance and steps < most_steps:
@@ -114,9 +119,11 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None =
             tried, steps = look(at + ahead), steps + 1
             if tried[0] <= value + 1e-4 * float(slope @ ahead) or tried[3] <= tolerance:
                 break
-        at, (value, slope, curve, miss) = at + ahead, tried
+        at, (value, slope, curve, miss, most_often) = at + ahead, tried
     if miss > tolerance:
         warnings.warn(f"mixing: a domain misses its target by {miss:.6f} of the tokens after {steps} steps", stacklevel=2)
+    if most_often > FREQUENT:
+        warnings.warn(f"mixing: documents of a scarce domain repeat up to {most_often:.0f} times", stacklevel=2)
     return F.when(F.col("tokens") > 0, rate_of(at)[1]).otherwise(1.0)
 
 

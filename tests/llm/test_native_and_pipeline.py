@@ -101,6 +101,91 @@ def test_line_dedup_edges(spark):
     assert sorted(kept, key=str) == sorted([(None, a), (0, ""), (0, "")], key=str)
 
 
+def check_units(before, after):
+    """What is gone stood in an earlier place, and one of each different unit stays."""
+    import re
+
+    cut = re.compile(lines.CUT)
+    seen, kept = set(), set()
+    for old, new in zip(before, after, strict=True):
+        own = [u.strip(" \t\r\n") for u in cut.split(old or "")]
+        left = [u.strip(" \t\r\n") for u in cut.split(new or "")]
+        k = 0
+        for u in own:  # units that stay keep their order
+            if k < len(left) and left[k] == u:
+                k += 1
+            else:
+                assert u == "" or u in seen, u
+            seen.add(u)
+        assert k == len(left) or not any(left[k:])
+        kept |= set(left)
+    assert {u for u in seen if u} <= kept
+
+
+def test_line_dedup_deletes_only_copies(spark):
+    rng = random.Random(12)
+    passages = [sentences(rng, rng.randrange(3, 15)) for _ in range(12)] + ["\n".join(words(rng, rng.randrange(1, 4)) for _ in range(20)) for _ in range(6)]
+    passages.append(passages[0] + "\n" * 30 + "tail " + passages[12])  # a run with more blank units than an extension looks at
+    texts = []
+    for _ in range(120):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else sentences(rng, rng.randrange(1, 8)) for _ in range(rng.randrange(1, 6))]
+        texts.append(rng.choice([" ", "\n", "\n\n"]).join(parts))
+    after = [r["text"] for r in lines.dedup(frame(spark, texts)).orderBy("doc_id").collect()]
+    check_units(texts, after)
+    assert brute(texts) > 500
+    assert brute(after) <= 0.01 * brute(texts)
+    short = "one\ntwo\nthree\nfour\nfive\nsix"
+    again = [r["text"] for r in lines.dedup(frame(spark, ["a b\n" + short, short, "one\ntwo"])).orderBy("doc_id").collect()]
+    assert again == ["a b\n" + short, "", "one\ntwo"]  # six short lines are a gram, two are not
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    rng = random.Random(13)
+    long = " ".join(words(rng, rng.randrange(4, 12)) + "." for _ in range(40_000))
+    after = [r["text"] for r in lines.dedup(frame(spark, [long, long[: len(long) // 2] + " Own end here."])).orderBy("doc_id").collect()]
+    assert after[0] == long
+    assert len(after[1]) < 200
+
+
+def test_rates_are_the_least_squares_solution(spark):
+    """No feasible step from the fitted rates lowers the sum of squares."""
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    kinds = ["en", "de", "es", "fr"]
+    for least in (0.0, 0.5):
+        p = rng.dirichlet([0.4] * 4, 60)
+        tokens = rng.integers(1, 300, 60)
+        soft = spark.createDataFrame([(int(t), *map(float, row)) for t, row in zip(tokens, p, strict=True)], "tokens long, " + ", ".join(f"p_{k} double" for k in kinds))
+        total = float(tokens.sum()) * 1.3
+        got = soft.withColumn("rate", mixing.fit_rates(soft, mixing.TARGETS, total=total, least=least)).toPandas()
+        p, t, rate = got[[f"p_{k}" for k in kinds]].to_numpy(), got.tokens.to_numpy(), got.rate.to_numpy()
+        assert (p.T * t) @ rate == pytest.approx([w * total for w in mixing.TARGETS.values()], rel=1e-3)
+        assert rate.min() >= least
+        cost = float((t * (rate - 1) ** 2).sum())
+        _, _, v = np.linalg.svd(p.T * t)
+        null = v[4:]  # directions that keep the domains' totals
+        for _ in range(2000):
+            step = rng.normal(size=len(null)) @ null
+            step *= rng.choice([1e-3, 1e-2, 1e-1, 1.0])
+            for sign in (1, -1):
+                moved = rate + sign * step
+                if moved.min() >= least:
+                    assert (t * (moved - 1) ** 2).sum() >= cost - 1e-3 * (1 + abs(step).max())
+
+
+def test_mixing_repeated_rows_and_long_texts(spark):
+    rows = [(1, "the and of " * 50_000, "en", "s", 1), (2, "der und von " * 9, "de", "s", 1), (2, "der und von " * 9, "de", "s", 1), (3, "der", "de", "s", 1), (4, "el y de", "es", "s", 1), (5, "le et du", "fr", "s", 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 6)], "doc_id long, quality int")
+    with pytest.warns(UserWarning, match="repeat up to"):
+        got = mixing.mix(docs, labels).toPandas()
+    assert got[got.doc_id == 1].tokens.tolist() == [150_000]
+    both = got[got.doc_id == 2]
+    assert len(both) == 2
+    assert both.rate.nunique() == both.copies.nunique() == 1
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(6)
     kinds = {"en": "the and of", "de": "der und von", "es": "el y de", "fr": "le et du"}
