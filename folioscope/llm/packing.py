@@ -172,4 +172,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, sentence_penalty:
         if (last := packer.take()) is not None:
             yield last
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(common.tidy(run), SCHEMA + (", ids binary" if with_ids else ""))

@@ -209,7 +209,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 got = np.array(edges, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(common.tidy(run), "a long, b long").distinct()
 
 
 def _with_end(batches):
@@ -347,7 +347,7 @@ def similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
                 got = np.array(edges, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(common.tidy(run), "a long, b long").distinct()
 
 
 def survivors(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR) -> DataFrame:

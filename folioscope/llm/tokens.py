@@ -7,7 +7,7 @@ from array import array
 
 import numpy as np
 
-MOST_WORDS = 500_000
+MOST_WORDS = 150_000
 #: The pre-tokenizer of byte-level BPE vocabularies of this kind; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -20,9 +20,9 @@ class _Words(dict):
         self.encode, self.prefix = encode, prefix
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = ids = array("I", self.encode(self.prefix + word)).tobytes()
+        ids = array("I", self.encode(self.prefix + word)).tobytes()
+        if len(self) < MOST_WORDS:
+            self[word] = ids
         return ids
 
 
