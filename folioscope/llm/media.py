@@ -18,6 +18,8 @@ from folioscope.llm import common, webp
 
 ROW = 192
 MOST_ROWS = 16384
+LEVELS = np.arange(0, 768, 256)
+SQUARES = np.stack([np.arange(256), np.arange(256) ** 2], 1)
 
 
 def to_files(payload: bytes) -> bytes:
@@ -25,7 +27,7 @@ def to_files(payload: bytes) -> bytes:
     out = []
     for lo in range(0, len(payload), ROW * MOST_ROWS):
         x = np.frombuffer(payload[lo : lo + ROW * MOST_ROWS], np.uint8).reshape(-1, ROW // 3, 3).astype(np.uint32)
-        out.append(webp.encode(0xFF000000 | x[..., 0] << 16 | x[..., 1] << 8 | x[..., 2]))
+        out.append(webp.encode_smallest(0xFF000000 | x[..., 0] << 16 | x[..., 1] << 8 | x[..., 2]))
     return b"".join(out)
 
 
@@ -44,15 +46,13 @@ def feature(pixels: np.ndarray) -> str:
     """Size, mean and spread of each channel in thousandths, a 16-bin histogram, and an 8 x 8 average hash of the brightness."""
     n = pixels.shape[0] * pixels.shape[1]
     flat = pixels.reshape(-1, 3)
-    counts = [np.bincount(flat[:, k], minlength=256).astype(object) for k in range(3)]
-    levels = list(range(256))
-    sums = [int(sum(c * v for c, v in zip(own, levels, strict=True) if c)) for own in counts]
-    squares = [int(sum(c * v * v for c, v in zip(own, levels, strict=True) if c)) for own in counts]
+    counts = np.bincount((flat + LEVELS).reshape(-1), minlength=768).reshape(3, 256)
+    sums, squares = (counts @ SQUARES[:, 0]).tolist(), (counts @ SQUARES[:, 1]).tolist()
     stats = ",".join(f"{1000 * s // n}/{1000 * (n * q - s * s) // (n * n)}" for s, q in zip(sums, squares, strict=True))
-    histogram = ",".join(str(int(x)) for x in sum(counts).reshape(16, 16).sum(1))
+    histogram = ",".join(map(str, counts.sum(0).reshape(16, 16).sum(1).tolist()))
     grey = pixels.sum(-1, dtype=np.int64)
     rows = [b for b in np.array_split(np.arange(grey.shape[0]), 8) if len(b)]
-    cells = np.array([[grey[b[0] : b[-1] + 1, 8 * k : 8 * k + 8].sum() * 8 // len(b) for k in range(8)] for b in rows])
+    cells = np.array([grey[b[0] : b[-1] + 1].sum(0).reshape(8, 8).sum(1) * 8 // len(b) for b in rows])
     bits = "".join("1" if x * cells.size > cells.sum() else "0" for x in cells.reshape(-1).tolist())
     return f"{pixels.shape[1]}x{pixels.shape[0]};{stats};{histogram};{int(bits, 2):x}"
 

@@ -21,6 +21,7 @@ CACHE_MULTIPLIER = 0x1E35A7BD
 #: Distance codes 1 to 120 name neighbours by their distance, then by how far they stand to the side.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 STRETCH = 1 << 20
+REVERSED = sum(((np.arange(1 << 15) >> k) & 1) << (14 - k) for k in range(15)).tolist()
 
 
 class Bits:
@@ -76,7 +77,7 @@ def canonical(used) -> dict[int, tuple[int, int]]:
     for n, symbol in sorted(used):
         code <<= n - before
         before = n
-        out[symbol] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        out[symbol] = (REVERSED[code] >> (15 - n), n)
         code += 1
     return out
 
@@ -93,21 +94,26 @@ def read_code(bits: Bits, size: int) -> Code:
         meta[k] = bits.read(3)
     code = code_of(bits, meta)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    at, last, here, data = 0, 8, bits.at, bits.data
+    table, mask = list(zip(code.symbols.tolist(), code.sizes.tolist(), strict=True)), code.mask
     while at < size and left:
         left -= 1
-        k = code.read(bits)
+        ahead = int.from_bytes(data[here >> 3 : (here >> 3) + 5], "little") >> (here & 7)
+        k, n = table[ahead & mask]
+        here += n
         if k < 16:
             lengths[at] = k
             at += 1
             last = k or last
-        else:
-            n = 3 + bits.read(2) if k == 16 else 3 + bits.read(3) if k == 17 else 11 + bits.read(7)
-            if at + n > size:
-                raise ValueError("code lengths run over the alphabet")
-            if k == 16:
-                lengths[at : at + n] = [last] * n
-            at += n
+            continue
+        least, more = ((3, 2), (3, 3), (11, 7))[k - 16]
+        n, here = least + (ahead >> n & (1 << more) - 1), here + more
+        if at + n > size:
+            raise ValueError("code lengths run over the alphabet")
+        if k == 16:
+            lengths[at : at + n] = [last] * n
+        at += n
+    bits.at = here
     return code_of(bits, lengths)
 
 
@@ -202,31 +208,40 @@ def _fast(bits: Bits, width: int, height: int, codes: list[Code]) -> np.ndarray:
                 step = step + code.sizes[window[step] & code.mask]
         if green.symbols.max() >= 256:
             step = np.where(green.symbols[g] < 256, step, -1)
-        walk, p, found, left = memoryview(np.ascontiguousarray(step)), bits.at - 8 * base, [], n - done
-        while p < length and left:
+        walk, p, found, copies, left = memoryview(np.ascontiguousarray(step)), bits.at - 8 * base, [], [], n - done
+        add = found.append
+        while p < length and left > 0:
             q = walk[p]
-            if q < 0:
-                break
-            found.append(p)
-            p = q
-            left -= 1
-        if found:
-            at = np.array(found, np.int32)
-            k = window[at]
-            value = green.symbols[k & green.mask].astype(np.uint32) << 8
-            at = at + green.sizes[k & green.mask]
-            for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
-                k = window[at] & code.mask
-                value |= code.symbols[k].astype(np.uint32) << shift
-                at = at + code.sizes[k]
-            out[done : done + len(found)] = value
-            done += len(found)
-        bits.at = 8 * base + p
-        if done < n and p < length:  # a back-reference
-            s = green.read(bits)
-            count = prefixed(bits, s - 256)
+            if q >= 0:
+                add(p)
+                p = q
+                left -= 1
+                continue
+            bits.at = 8 * base + p  # a back-reference
+            count = prefixed(bits, green.read(bits) - 256)
             back = distance(prefixed(bits, far.read(bits)), width)
-            if back > done or done + count > n:
+            copies.append((len(found), count, back))
+            left -= count
+            p = bits.at - 8 * base
+        bits.at = 8 * base + p
+        if left < 0:
+            raise ValueError("a back-reference leaves the image")
+        at = np.array(found, np.int32)
+        k = window[at]
+        value = green.symbols[k & green.mask].astype(np.uint32) << 8
+        at = at + green.sizes[k & green.mask]
+        for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            k = window[at] & code.mask
+            value |= code.symbols[k].astype(np.uint32) << shift
+            at = at + code.sizes[k]
+        used = 0
+        for upto, count, back in [*copies, (len(found), 0, 1)]:
+            out[done : done + upto - used] = value[used:upto]
+            done += upto - used
+            used = upto
+            if not count:
+                continue
+            if back > done:
                 raise ValueError("a back-reference leaves the image")
             if back >= count:
                 out[done : done + count] = out[done - back : done - back + count]
@@ -470,34 +485,45 @@ _META = {s: 4 if s < 13 else 5 for s in range(19)}
 _META_CODES = canonical([(n, s) for s, n in _META.items()])
 
 
+def _meta_header() -> tuple[int, int]:
+    """The bits that announce that code: not a simple one, all 19 lengths, no limit on the symbols."""
+    w = Writer()
+    w.put(0, 1), w.put(15, 4)
+    for k in LENGTH_ORDER:
+        w.put(_META[k], 3)
+    w.put(0, 1)
+    return w.value, w.size
+
+
+_META_HEADER = _meta_header()
+
+
 def code_header(lengths: dict[int, int], size: int) -> tuple[int, int]:
     """The bits that describe a code, as (value, size)."""
     w = Writer()
     if len(lengths) <= 1 and (next(iter(lengths), 0)) < 256:
         w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(next(iter(lengths), 0), 8)
         return w.value, w.size
-    w.put(0, 1), w.put(15, 4)
-    for k in LENGTH_ORDER:
-        w.put(_META[k], 3)
-    w.put(0, 1)
-    at = 0
+    value, length, at = *_META_HEADER, 0
     for s in [*sorted(lengths), size]:
         gap = s - at
         while gap:
+            n = min(gap, 138)
             if gap >= 11:
-                n = min(gap, 138)
-                w.put(*_META_CODES[18]), w.put(n - 11, 7)
+                (c, k), extra, more = _META_CODES[18], n - 11, 7
             elif gap >= 3:
-                n = gap
-                w.put(*_META_CODES[17]), w.put(n - 3, 3)
+                (c, k), extra, more = _META_CODES[17], n - 3, 3
             else:
-                n = 1
-                w.put(*_META_CODES[0])
+                (c, k), extra, more, n = _META_CODES[0], 0, 0, 1
+            value |= (c | extra << k) << length
+            length += k + more
             gap -= n
         if s < size:
-            w.put(*_META_CODES[lengths[s]])
+            c, k = _META_CODES[lengths[s]]
+            value |= c << length
+            length += k
         at = s + 1
-    return w.value, w.size
+    return value, length
 
 
 def _coder(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -517,10 +543,89 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * high + second, (value - 1) & ((1 << (high - 1)) - 1), high - 1
 
 
-def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, lz: bool = False, groups: int = 1) -> None:
-    """An entropy-coded image; groups > 1 deals blocks of 4 x 4 out to several groups of codes."""
+#: Copies of fewer pixels cost about as much as they save.
+LEAST_COPY, MOST_COPY = 6, 4096
+MIX = np.random.default_rng(3).integers(0, 1 << 63, LEAST_COPY, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def find_copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of runs that repeat earlier pixels, taken greedily from the left."""
+    n = len(flat) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    key = sum(flat[k : k + n].astype(np.uint64) * MIX[k] for k in range(LEAST_COPY))
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return []
+    here, before = order[same + 1], order[same]
+    by_place = np.argsort(here)
+    out, end = [], 0
+    for i, j in zip(here[by_place].tolist(), before[by_place].tolist(), strict=True):
+        if i < end:
+            continue
+        length = 0
+        for most in (64, MOST_COPY):
+            most = min(most, len(flat) - i)
+            other = flat[i : i + most] != flat[j : j + most]
+            length = int(other.argmax()) if other.any() else most
+            if length < most:
+                break
+        if length >= LEAST_COPY:
+            out.append((i, length, i - j))
+            end = i + length
+    return out
+
+
+def _write_copies(w: Writer, flat: np.ndarray, wide: int, main: bool, copies: list[tuple[int, int, int]]) -> None:
+    """Opaque pixels as literals and back-references, whose codes are worked out in arrays."""
+    if main:
+        w.put(0, 1)
+    at, length, back = np.array(copies, np.int64).T
+    covered = np.zeros(len(flat) + 1, np.int64)
+    covered[at] += 1
+    covered[at + length] -= 1
+    literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    near = np.arange(8 * wide + 9, dtype=np.int64) + 120
+    for k, (x, y) in reversed(list(enumerate(NEAR))):
+        if x + y * wide >= 1:
+            near[x + y * wide] = k + 1
+    far = np.where(back < len(near), near[np.minimum(back, len(near) - 1)], back + 120)
+    parts = [np.array([_prefix(int(x)) for x in values], np.int64).T for values in (length, far)]
+    planes = [((flat[literal] >> s) & 255).astype(np.int64) for s in (8, 16, 0)]
+    places = np.argsort(np.concatenate([literal, at]), kind="stable")
+    values, sizes = np.zeros((len(places), 4), np.uint64), np.zeros((len(places), 4), np.int64)
+
+    def coded(size: int, *parts: np.ndarray) -> tuple[tuple[int, int], np.ndarray, np.ndarray]:
+        """A header and the codes of an alphabet that the parts share."""
+        n = sum(np.bincount(x, minlength=size) for x in parts)
+        found = np.flatnonzero(n)
+        lengths = code_lengths(dict(zip(found.tolist(), n[found].tolist(), strict=True)))
+        return code_header(lengths, size), *_coder(lengths, size)
+
+    first, rest, away = np.concatenate([planes[0], 256 + parts[0][0]]), coded(256, *planes[1:]), coded(40, parts[1][0])
+    header, codes, bits = coded(280, first)
+    values[:, 0], sizes[:, 0] = codes[first], bits[first]
+    for k in (1, 2):
+        values[: len(literal), k], sizes[: len(literal), k] = rest[1][planes[k]], rest[2][planes[k]]
+    values[len(literal) :, 2], sizes[len(literal) :, 2] = away[1][parts[1][0]], away[2][parts[1][0]]
+    for part in (header, rest[0], rest[0], code_header({255: 1}, 256), away[0]):
+        w.put(*part)
+    for column, (_, extra, size) in zip((1, 3), parts, strict=True):
+        values[len(literal) :, column], sizes[len(literal) :, column] = extra, size
+    w.put_array(values[places].reshape(-1), sizes[places].reshape(-1))
+
+
+def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, lz: bool = False, groups: int = 1, copies: bool = False) -> None:
+    """An entropy-coded image; groups > 1 deals blocks of 4 x 4 out to several groups of codes, copies looks for long repeats."""
     h, wide = argb.shape
     flat = argb.reshape(-1)
+    # A literal pixel takes about 12 bits, a copy 30, and codes of their own for copies some 600.
+    found = find_copies(flat) if copies and (flat >> 24 == 255).all() else []
+    if 12 * sum(n for _, n, _ in found) > 30 * len(found) + 600:
+        w.put(0, 1)
+        _write_copies(w, flat, wide, main, found)
+        return
     w.put(1, 1) or w.put(cache_bits, 4) if cache_bits else w.put(0, 1)
     if cache_bits or lz or groups > 1:
         _write_tokens(w, flat, wide, h, main, cache_bits, lz, groups)
@@ -613,7 +718,7 @@ def _write_tokens(w: Writer, flat: np.ndarray, wide: int, h: int, main: bool, ca
     w.put_array(np.array(values, np.uint64), np.array(sizes, np.int64))
 
 
-def encode(argb: np.ndarray, predictor: int | None = None, cross: tuple[int, int, int] | None = None, green: bool = False, palette: bool = False, cache_bits: int = 0, lz: bool = False, groups: int = 1) -> bytes:
+def encode(argb: np.ndarray, predictor: int | None = None, cross: tuple[int, int, int] | None = None, green: bool = False, palette: bool = False, cache_bits: int = 0, lz: bool = False, groups: int = 1, copies: bool = False) -> bytes:
     """A WebP file of the pixels; predictor -1 takes all modes in turn, cross holds green-to-red, green-to-blue, red-to-blue."""
     h, wide = argb.shape
     w = Writer()
@@ -647,7 +752,57 @@ def encode(argb: np.ndarray, predictor: int | None = None, cross: tuple[int, int
         w.put(1, 1), w.put(2, 2)
         image = subtract_green(image, -1)
     w.put(0, 1)
-    write_image(w, image, True, cache_bits, lz, groups)
+    write_image(w, image, True, cache_bits, lz, groups, copies)
     body = w.bytes()
     padded = body + b"\0" * (len(body) & 1)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
+
+
+def entropy(*planes: np.ndarray) -> float:
+    """Bits that ideal codes of the planes would take."""
+    bits = 0.0
+    for p in planes:
+        counts = np.bincount(p.reshape(-1) & 255, minlength=256)
+        counts = counts[counts > 0]
+        bits += float(counts.sum() * np.log2(counts.sum()) - counts @ np.log2(counts))
+    return bits
+
+
+def transforms(argb: np.ndarray, most_rows: int = 16) -> dict:
+    """The transforms that should shorten the file most, estimated on at most so many rows spread over the image.
+
+    A transform is worth an estimate of its size only where channels go together or neighbours are alike.
+    """
+    some = argb[:: -(-len(argb) // most_rows)]
+    channels = ((some[None] >> np.array([16, 8, 0], np.uint32)[:, None, None]) & 255).astype(np.int32)
+    r, g, b = channels
+    flat = channels.reshape(3, -1) - channels.reshape(3, -1).mean(1, keepdims=True)
+    spread, with_red, with_blue = (float(x) for x in flat[1] @ flat.T[:, [1, 0, 2]])
+    steps = float(np.abs(np.diff(channels, axis=2)).mean()) if some.shape[1] > 1 else 0.0
+    alike, together = steps < 0.5 * float(np.abs(flat).mean()), abs(with_red) + abs(with_blue) > 0.6 * spread > 0
+    if not (alike or together):
+        return {}
+    least, best = 0.97 * entropy(r, g, b), {}
+    tried = []
+    if together:
+        tried.append(({"green": True}, entropy(g) + entropy(r - g) + entropy(b - g) + 16))
+        to_red, to_blue = (int(np.clip(np.rint(32 * x / spread), -128, 127)) for x in (with_red, with_blue))
+        tried.append(({"cross": (to_red, to_blue, 0)}, entropy(g) + entropy(r - ((to_red * _signed(g)) >> 5)) + entropy(b - ((to_blue * _signed(g)) >> 5)) + 120))
+    if alike:
+        tried.append(({"predictor": 1}, sum(entropy(np.diff(c, axis=1, prepend=0)) for c in (r, g, b)) + 120))
+    for own, bits in tried:
+        if bits < least:
+            least, best = bits, own
+    return best
+
+
+def encode_smallest(argb: np.ndarray) -> bytes:
+    """The file with the transforms that pay and with back-references, or that with a palette where it is smaller."""
+    out = encode(argb, copies=True, **transforms(argb))
+    flat = argb.reshape(-1)
+    # Colours that hardly repeat cost more in a table than as they are.
+    few = len(np.unique(flat[:1024]))
+    if few <= 256 and 4 * few <= min(len(flat), 1024) and 4 * len(np.unique(flat)) <= min(len(flat), 1024):
+        other = encode(argb, palette=True, copies=True)
+        return min(out, other, key=len)
+    return out

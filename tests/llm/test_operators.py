@@ -106,6 +106,50 @@ def test_fast_and_slow_decoders_agree():
         webp.decode(b"RIFF")
 
 
+def test_smallest_file_round_trips_and_uses_each_method():
+    rng = np.random.default_rng(3)
+    prose = "".join(rng.choice(list("etaoin shrdlu"), 6000))
+    line = prose[:600]
+
+    def stored(raw):
+        raw = raw + b" " * (-len(raw) % 192)
+        x = np.frombuffer(raw, np.uint8).reshape(-1, 64, 3).astype(np.uint32)
+        image = 0xFF000000 | x[..., 0] << 16 | x[..., 1] << 8 | x[..., 2]
+        out = webp.encode_smallest(image)
+        assert (webp.decode(out) == image).all()
+        return out, webp.encode(image), image
+
+    for raw in (b" ", b"a" * 5000, prose.encode(), bytes(range(256)) * 9, rng.bytes(9999)):
+        stored(raw)
+    out, plain, image = stored((line + prose + line + prose[:3000]).encode())
+    assert len(out) < 0.8 * len(plain)  # back-references
+    assert webp.find_copies(image.reshape(-1))
+    out, plain, _ = stored((rng.integers(0, 256, 3000)[:, None] + rng.integers(0, 3, (3000, 3))).astype(np.uint8).tobytes())
+    assert len(out) < 0.9 * len(plain)  # subtract green or cross-colour
+    ramp = np.cumsum(rng.integers(0, 3, (40, 64, 3)), 1).astype(np.uint8)
+    assert webp.transforms((0xFF000000 | ramp[..., 0].astype(np.uint32) << 16 | ramp[..., 1].astype(np.uint32) << 8 | ramp[..., 2]).astype(np.uint32))
+    out, plain, _ = stored(ramp.tobytes())
+    assert len(out) < 0.7 * len(plain)  # predictor
+    few = np.frombuffer(b"abcxyzijk", np.uint8).reshape(3, 3)[rng.integers(0, 3, 4096)]
+    out, plain, _ = stored(few.tobytes())
+    assert len(out) < 0.7 * len(plain)  # palette
+
+
+def test_decoder_reads_a_file_made_by_hand():
+    """One pixel wide, two high, no transforms: simple codes give both pixels without any bits."""
+    bits = "".join(f"{v:0{n}b}"[::-1] for v, n in [(0x2F, 8), (0, 14), (1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1), *[x for v in (7, 9, 200, 255) for x in ((1, 1), (0, 1), (1, 1), (v, 8))], (1, 1), (0, 1), (0, 1), (0, 1)])
+    body = int(bits[::-1], 2).to_bytes(-(-len(bits) // 8), "little")
+    data = b"RIFF" + (12 + len(body) + len(body) % 2).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+    assert webp.decode(data).tolist() == [[255 << 24 | 9 << 16 | 7 << 8 | 200]] * 2
+
+
+def test_media_of_empty_and_clashing_tables(spark):
+    docs = docs_of(spark, ["a"]).withColumns({"media": F.lit("x"), "payload": F.lit(1), "feature": F.lit(2), "n_bytes": F.lit(3)})
+    (row,) = media.read_back(media.store_texts(docs)).collect()
+    assert bytes(row["payload"]) == b"a" + b" " * 191
+    assert media.read_back(media.store_texts(docs.limit(0))).count() == 0
+
+
 def test_near_table_of_distances():
     assert webp.NEAR[:8] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)]
     assert len(webp.NEAR) == 120
