@@ -25,8 +25,8 @@ def main(args: list[str] | None = None) -> int:
     if not settings.vault:
         parser.error("no vault is named")
     spark = session()
-    model = providers.HashEmbedder()
-    store = ChunkStore(spark, settings.store_path, providers.with_embeddings, model.dimensions).initialize()
+    model = providers.FeatureEmbedder(settings.dimensions)
+    store = ChunkStore(spark, settings.store_path, lambda rows, text, out: providers.with_embeddings(rows, text, out, model), model.dimensions).initialize()
     tools = engine.NoteTools(spark, settings.vault, store, engine.SearchEngine(store, model, limit=settings.search_limit, least=settings.min_score, neighbours=settings.neighbours))
     if own.command == "reindex":
         print(json.dumps(tools.synchronise()))

@@ -20,7 +20,7 @@ class Config:
     chunk_most: int = 1000
     chunk_least: int = 500
     poll_seconds: int = 60
-    dimensions: int = 16
+    dimensions: int = 64
     rerank_weight: float = 1.0
     research_loops: int = 3
     fetch_chars: int = 15000

@@ -7,8 +7,11 @@ sections, paragraphs and line offsets are plain expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import accumulate, groupby, pairwise
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,110 +22,80 @@ from folioscope.functions import text as fx
 _HEADER = re.compile(fx.HEADER)
 
 
-@dataclass(frozen=True)
-class Piece:
+class Piece(NamedTuple):
     """Text with the number of its first line."""
 
     text: str
     line: int
 
 
-def fixed_pieces(text: str, size: int = 1000, true_overlap: int = 0) -> Iterator[Piece]:
-    """Runs of at most size characters that end at their last space where they can; overlap only where asked for."""
-    at, line = 0, 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text) and (space := text.rfind(" ", at + 1, end)) > at:
-            end = space
-        if text[at:end].strip():
-            yield Piece(text[at:end], line)
-        onward = end if end >= len(text) else max(at + 1, end - true_overlap)
-        line += text.count("\n", at, onward)
-        at = onward
+@lru_cache(maxsize=64)
+def _slicer(most: int, tail: str) -> re.Pattern:
+    """Slices of at most `most` characters: the rest if it fits, else up to the last blank after the first character, else `most`."""
+    blank = rf"|.{{1,{most - 1}}}(?= )" if most > 1 else ""
+    return re.compile(rf"(?s)(?P<own>.{{1,{most}}}\Z{blank}|.{{{most}}}){tail}")
 
 
-def _sections(text: str) -> list[Piece]:
-    """A header of level 1 to 3 starts a section."""
-    out: list[Piece] = []
-    for number, line in enumerate(text.splitlines(keepends=True)):
-        if not out or _HEADER.match(line.rstrip("\r\n")):
-            out.append(Piece(line, number))
-        else:
-            out[-1] = Piece(out[-1].text + line, out[-1].line)
-    return out
+def fixed_pieces(text: str, size: int = 1000) -> Iterator[Piece]:
+    """Runs of at most size characters that end at their last blank where they can; the next run begins with that blank."""
+    line = 0
+    for m in _slicer(size, "").finditer(text):
+        if not m["own"].isspace():
+            yield Piece(m["own"], line)
+        line += m["own"].count("\n")
 
 
-def _packed(pieces: list[Piece], joiner: str, most: int) -> list[Piece]:
-    """Neighbours joined as long as they fit; a packed piece keeps its first one's line."""
-    out: list[Piece] = []
-    for p in pieces:
-        if out and len(out[-1].text) + len(joiner) + len(p.text) <= most:
-            out[-1] = Piece(out[-1].text + joiner + p.text, out[-1].line)
-        else:
-            out.append(p)
-    return out
+def _runs(lengths: Sequence[int], joiner: int, most: int, from_here: Callable[[int], bool] = lambda i: True) -> Iterator[tuple[int, int]]:
+    """Neighbours [i, j) dealt out from the left: each run reaches as far as its joined length stays within `most`.
 
+    A run has one member at least; from_here(i) says whether a run that begins with i may take in more.
+    """
+    ends = [0, *accumulate(n + joiner for n in lengths)]
+    i = 0
+    while i < len(lengths):
+        j = max(i + 1, bisect_right(ends, ends[i] + most + joiner) - 1) if from_here(i) else i + 1
+        yield i, j
+        i = j
 
-def _hard(piece: Piece, most: int) -> list[Piece]:
-    """A line cut at its last spaces, or anywhere."""
-    out, at, text, line = [], 0, piece.text, piece.line
-    while at < len(text):
-        end = min(at + most, len(text))
-        if end < len(text) and (space := text.rfind(" ", at + 1, end)) > at:
-            end = space
-        out.append(Piece(text[at:end], line))
-        after = end
-        while after < len(text) and text[after].isspace():
-            after += 1
-        line += text.count("\n", at, after)
-        at = after
-    return out
+
+def _joined(pieces: Sequence[Piece], joiner: str, most: int, from_here: Callable[[int], bool] = lambda i: True) -> list[Piece]:
+    """Runs of pieces as one piece each, which keeps the first one's line."""
+    cuts = _runs([len(p.text) for p in pieces], len(joiner), most, from_here)
+    return [Piece(joiner.join(p.text for p in pieces[i:j]), pieces[i].line) for i, j in cuts]
 
 
-def _paragraph(piece: Piece, most: int) -> list[Piece]:
+def _of_part(part: Piece, most: int) -> list[Piece]:
+    """A part that is too long: runs of whole lines, and slices of the lines that are too long themselves."""
     out: list[Piece] = []
-    run: list[Piece] = []
-    for k, line in enumerate(piece.text.splitlines(keepends=True)):
-        own = Piece(line, piece.line + k)
-        if len(line) > most:
-            out += _packed(run, "", most) + _hard(own, most)
-            run = []
+    numbered = [Piece(x, part.line + k) for k, x in enumerate(part.text.splitlines(keepends=True))]
+    for too_long, group in groupby(numbered, key=lambda p: len(p.text) > most):
+        if too_long:
+            out += [Piece(m["own"], p.line) for p in group for m in _slicer(most, r"\s*").finditer(p.text)]
         else:
-            run.append(own)
-    return out + _packed(run, "", most)
+            out += _joined(list(group), "", most)
+    return out
 
 
-def _split(section: Piece, most: int) -> list[Piece]:
+def _of_section(section: Piece, most: int) -> list[Piece]:
+    """A section as it is, or runs of its parts between blank lines."""
     if len(section.text) <= most:
         return [section]
-    pieces, line = [], section.line
-    parts = section.text.split("\n\n")
-    if parts and parts[-1] == "":
-        parts.pop()
-    for part in parts:
-        own = Piece(part, line)
-        pieces += _paragraph(own, most) if len(part) > most else [own]
-        line += part.count("\n") + 2
-    return _packed(pieces, "\n\n", most)
+    texts = section.text.split("\n\n")
+    texts = texts if texts[-1] else texts[:-1]
+    first_lines = accumulate((x.count("\n") + 2 for x in texts[:-1]), initial=section.line)
+    parts = [Piece(x, n) for x, n in zip(texts, first_lines, strict=True)]
+    return _joined([q for p in parts for q in ([p] if len(p.text) <= most else _of_part(p, most))], "\n\n", most)
 
 
 def semantic_pieces(text: str, most: int = 1000, least: int = 500) -> list[Piece]:
-    """Header sections, cut where too long; pieces shorter than `least` take in those that follow while they fit."""
+    """Sections that headers of level 1 to 3 begin, cut where too long; one shorter than `least` takes in those that follow while they fit."""
     if not text.strip():
         return []
-    todo = [p for s in _sections(text) for p in _split(s, most)]
-    out: list[Piece] = []
-    k = 0
-    while k < len(todo):
-        own, k = todo[k], k + 1
-        if len(own.text.strip()) < least:
-            joined = own.text
-            while k < len(todo) and len(joined) + 2 + len(todo[k].text) <= most:
-                joined, k = joined + "\n\n" + todo[k].text, k + 1
-            own = Piece(joined, own.line)
-        if own.text.strip():
-            out.append(own)
-    return out
+    lines = text.splitlines(keepends=True)
+    cuts = [0, *(n for n, x in enumerate(lines) if n and _HEADER.match(x.rstrip("\r\n"))), len(lines)]
+    pieces = [q for a, b in pairwise(cuts) for q in _of_section(Piece("".join(lines[a:b]), a), most)]
+    short = [len(p.text.strip()) < least for p in pieces]
+    return [p for p in _joined(pieces, "\n\n", most, short.__getitem__) if p.text.strip()]
 
 
 def chunks(notes: DataFrame, kind: str = "semantic", **options: int) -> DataFrame:

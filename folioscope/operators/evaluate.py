@@ -51,3 +51,15 @@ def rank_agreement(expected: DataFrame, results: DataFrame, k: int = 5) -> DataF
     both = expected.join(top, "query")
     same = F.size(F.filter(F.arrays_zip("ids", "got"), lambda x: x["ids"] == x["got"]))
     return both.select("query", (same / k).alias("position_accuracy"), (F.size(F.array_intersect("ids", "got")) / k).alias("overlap_accuracy"))
+
+
+def means(scored: DataFrame) -> DataFrame:
+    """One row: the cases that succeeded (no error), how many, their mean precision, recall and f_score, and the grade."""
+    good = scored.where(F.col("error").isNull()) if "error" in scored.columns else scored
+    own = good.agg(F.count("*").alias("cases"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f_score")])
+    return own.withColumn("grade", grade(F.coalesce("f_score", F.lit(0.0))))
+
+
+def mean_agreement(agreement: DataFrame) -> DataFrame:
+    """One row: the mean position and overlap accuracy over all queries."""
+    return agreement.agg(F.count("*").alias("queries"), F.avg("position_accuracy").alias("position_accuracy"), F.avg("overlap_accuracy").alias("overlap_accuracy"))

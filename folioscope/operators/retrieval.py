@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.schema import Scope
@@ -43,6 +44,16 @@ def first_of_each(results: DataFrame, key: str = "id", order: str = "hit_rank")
     return results.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
+def with_ids(chunks: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Chunks of a table of ids; those that are missing are left out."""
+    return chunks.join(ids.select(id_col), id_col, "left_semi")
+
+
+def sources_named(chunks: DataFrame, name: str, name_col: str = "wikilink_name", path_col: str = "source_path") -> DataFrame:
+    """The distinct paths of the notes with a name."""
+    return chunks.where(F.col(name_col) == name).select(path_col).distinct()
+
+
 # ---- vectors ----
 
 
@@ -79,43 +90,76 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.length(t) <= LONGEST_TOKEN)
 
 
-def postings(chunks: DataFrame, column: str, id_col: str = "id") -> DataFrame:
-    """(term, id, tf, length): the inverted index of one column, to be written once and joined often."""
-    own = chunks.select(id_col, tokens(F.col(column)).alias("t"))
-    return own.select(id_col, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", id_col, "length").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, column: str, id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """(kept columns, term, id, length, tf): the inverted index of one column, to be written once and read by term."""
+    own = chunks.select(*keep, id_col, tokens(F.col(column)).alias("t"))
+    return own.select(*keep, id_col, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy(*keep, "term", id_col, "length").agg(F.count("*").alias("tf"))
+
+
+def term_statistics(chunks: DataFrame, column: str) -> DataFrame:
+    """(term, document frequency, collection frequency), with one exchange of partial sums.
+
+    A row's tokens are sorted, so each term's first one in the row is known before anything is exchanged.
+    """
+    own = chunks.select(F.sort_array(tokens(F.col(column))).alias("t"))
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("t", i - 1) == x), 0).otherwise(1).alias("first")))
+    return own.select(F.inline(marked)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
 
-def term_statistics(chunks: DataFrame, column: str, id_col: str = "id") -> DataFrame:
-    """(term, document frequency, collection frequency)."""
-    return postings(chunks, column, id_col).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    return spark.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("t")).first()["t"]
+
+
+def weighed(hits: DataFrame, sizes: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, score) of hits (term, id, length, tf), given the one row of sizes (n rows, mean length)."""
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return hits.join(F.broadcast(df), "term").join(F.broadcast(sizes.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select(id_col, weight.alias("score"))
+
+
+def summed(parts: Sequence[DataFrame], id_col: str = "id") -> DataFrame:
+    """Scores of several columns added up, rounded so that equal ones stay equal whatever the order of the sum."""
+    return reduce(DataFrame.union, parts).groupBy(id_col).agg(F.round(F.sum("score"), 9).alias("score"))
+
+
+def best(scores: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+    """The k best rows: (id, score, rank from 1)."""
+    return ranked(scores.orderBy(F.desc("score"), id_col).limit(k), "score", id_col, True)
 
 
 def bm25(chunks: DataFrame, query: str, columns: Sequence[str] = ("content",), id_col: str = "id", terms: Sequence[str] | None = None) -> DataFrame:
-    """(id, score) of the rows that hold a query term, summed over the columns.
+    """(id, score) of the rows that hold a query term, summed over the columns; for tables without postings.
 
-    Scans tokens and keeps those of the query's terms before anything is grouped, so only hits are shuffled.
+    Each row's counts of the query's terms are worked out in place. One scan adds up all that the weights need (rows,
+    tokens and document frequencies: one row), another scores the rows, and nothing else is exchanged.
     """
-    spark = chunks.sparkSession
-    if terms is None:
-        terms = spark.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("t")).first()["t"]
-    out = None
-    for column in columns:
-        own = chunks.select(id_col, tokens(F.col(column)).alias("t"))
-        sizes = own.select(F.size("t").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-        wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-        hits = own.select(id_col, F.size("t").alias("length"), F.explode(F.filter("t", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy("term", id_col, "length").agg(F.count("*").alias("tf"))
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
-        idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        one = hits.join(F.broadcast(df), "term").join(F.broadcast(sizes.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select(id_col, weight.alias("score"))
-        out = one if out is None else out.union(one)
-    return out.groupBy(id_col).agg(F.round(F.sum("score"), 9).alias("score"))  # equal scores stay equal whatever the order of the sum
+    terms = query_terms(chunks.sparkSession, query) if terms is None else list(terms)
+    if not terms:
+        return chunks.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    is_word = lambda w: lambda t: t == w
+    wanted, found = F.array(*[F.lit(t) for t in terms]), []
+    own = chunks
+    for c in columns:
+        own = own.withColumn(f"_t_{c}", tokens(F.col(c)))
+    counted = [F.struct(F.size(f"_t_{c}").alias("length"), F.filter(f"_t_{c}", lambda t: F.array_contains(wanted, t)).alias("hits")).alias(f"_{c}") for c in columns]
+    own = own.select(id_col, *counted)
+    tf = [[F.size(F.filter(F.col(f"_{c}.hits"), is_word(w))).alias(f"_{k}_{j}") for j, w in enumerate(terms)] for k, c in enumerate(columns)]
+    own = own.select(id_col, *[F.col(f"_{c}.length").alias(f"_length_{k}") for k, c in enumerate(columns)], *[x for row in tf for x in row])
+    pairs = [(k, j) for k in range(len(columns)) for j in range(len(terms))]
+    sums = own.agg(F.count("*").alias("_n"), *[F.avg(f"_length_{k}").alias(f"_mean_{k}") for k in range(len(columns))], *[F.count_if(F.col(f"_{k}_{j}") > 0).alias(f"_df_{k}_{j}") for k, j in pairs])
+    for k, j in pairs:
+        n, df, count = F.col("_n"), F.col(f"_df_{k}_{j}"), F.col(f"_{k}_{j}")
+        weight = F.log(1.0 + (n - df + 0.5) / (df + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * F.col(f"_length_{k}") / F.col(f"_mean_{k}")))
+        found.append(F.when(count > 0, weight).otherwise(0.0))
+    hit = reduce(lambda a, b: a | b, [F.col(f"_{k}_{j}") > 0 for k, j in pairs])
+    rows = own.where(hit).join(F.broadcast(sums.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
+    return summed([rows.select(id_col, reduce(lambda a, b: a + b, found).alias("score"))], id_col)
 
 
 def full_text(chunks: DataFrame, query: str, k: int, scope: Scope = Scope.CONTENT, id_col: str = "id") -> DataFrame:
     """The k best rows: (id, score, rank from 1)."""
-    found = bm25(chunks, query, scope.value, id_col).orderBy(F.desc("score"), id_col).limit(k)
-    return ranked(found, "score", id_col, True)
+    return best(bm25(chunks, query, scope.value, id_col), k, id_col)
 
 
 # ---- fusion ----

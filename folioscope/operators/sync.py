@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A note of fewer chunks gets no summary.
+LEAST_CHUNKS = 3
+
 
 def stored_sources(chunks: DataFrame) -> DataFrame:
     """(source_path, modified_at): the oldest time stored for each path."""
@@ -31,7 +34,7 @@ def delete(chunks: DataFrame, paths: DataFrame) -> DataFrame:
     return chunks.join(paths.select("source_path"), "source_path", "left_anti")
 
 
-def with_summaries(chunks: DataFrame, summaries: DataFrame, least: int = 3) -> DataFrame:
+def with_summaries(chunks: DataFrame, summaries: DataFrame, least: int = LEAST_CHUNKS) -> DataFrame:
     """Adds a chunk at position -1 for notes with enough chunks and a summary that isn't blank.
 
     summaries: the chunk columns but position and offset, one row per source_path.

@@ -9,9 +9,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope import schema
+from folioscope import config, schema
 from folioscope.functions import text as fx
-from folioscope.operators import chunking, formats, graph, rerank, retrieval, windows
+from folioscope.operators import chunking, formats, graph, rerank, retrieval, sync, windows
 from folioscope.operators.store import ChunkStore
 from folioscope.plans import providers
 from folioscope.schema import Scope
@@ -80,6 +80,25 @@ def with_service(results: DataFrame, score: Callable[[list[str]], list[tuple[int
     return rerank.by_service(results.drop("relevance_score").join(numbered, "id"), scores).drop("index")
 
 
+def reranked(results: DataFrame, query: str, settings: config.Config, embedder: providers.Embedder | None = None, chat: providers.Chat | None = None, service: Callable[[str, list[str]], list[tuple[int, float]]] | None = None) -> DataFrame:
+    """A search result (id, content, embeddings, hit_rank) scored by the reranker that the settings choose, best first.
+
+    results may come from vectors, from full text or from both. Without a model, or where the service fails, the fused ranks stay.
+    """
+    kind = rerank.choose(bool(settings.proxy_reranker), bool(settings.embedding_reranker), bool(settings.chat_reranker))
+    fused = results.withColumn("relevance_score", 1.0 / (retrieval.RRF_K + F.col("hit_rank")))
+    if kind == "service" and service is not None:
+        out = with_service(fused, lambda texts: service(query, texts), lambda: fused)
+    elif kind.startswith("embedding") and embedder is not None:
+        out = rerank.by_embedding(fused, embedder.embed([query])[0])
+        if kind == "embedding+rubric" and chat is not None:
+            asked = out.withColumn("_prompt", formats.rerank_prompt(F.lit(query), F.coalesce("content", F.lit(""))))
+            out = rerank.with_rubric(providers.answers(asked, "_prompt", "_answer", chat), "_answer", settings.rerank_weight).drop("_prompt", "_answer")
+    else:
+        out = fused
+    return out.orderBy(F.desc("relevance_score"), "id")
+
+
 class SearchAgent:
     """Rewrites the question, infers tags, searches, follows links both ways, and answers; every step has a fallback."""
 
@@ -115,18 +134,25 @@ class SearchAgent:
 class NoteTools:
     """Search, list, read and rename notes; what fails answers as callers expect."""
 
-    def __init__(self, spark: SparkSession, root: str, store: ChunkStore, engine: SearchEngine):
-        self.spark, self.root, self.store, self.engine = spark, root, store, engine
+    def __init__(self, spark: SparkSession, root: str, store: ChunkStore, engine: SearchEngine, summariser: providers.Chat | None = None):
+        self.spark, self.root, self.store, self.engine, self.summariser = spark, root, store, engine, summariser
+
+    def _chunks(self, notes: DataFrame) -> DataFrame:
+        """Chunks of notes, with a summary at position -1 of those that have enough of them."""
+        own = notes.select("content", "source_path", "wikilink_name", "file_size", "modified_at", F.col("tags").alias("note_tags"), "metadata.title", "metadata.description", "metadata.source", F.col("id").alias("note"))
+        chunks = chunking.chunks(own)
+        if self.summariser is not None:
+            asked = own.withColumn("_prompt", formats.summary_prompt(F.col("title"), F.col("description"), F.col("source_path"), F.col("content")))
+            long = chunks.groupBy("source_path").count().where(F.col("count") >= sync.LEAST_CHUNKS).select("source_path")
+            answered = providers.answers(asked.join(long, "source_path", "left_semi"), "_prompt", "_summary", self.summariser)
+            summaries = answered.where("_summary is not null").withColumn("content", F.trim("_summary")).drop("_prompt", "_summary")
+            chunks = sync.with_summaries(chunks, summaries)
+        built = chunking.build(chunks, F.col("source_path"), F.col("note_tags"))
+        return built.withColumn("id", F.concat("note", F.lit("_"), F.col("position").cast("string")))
 
     def synchronise(self) -> dict[str, int]:
-        """The store follows the vault."""
-
-        def chunk(changed: DataFrame) -> DataFrame:
-            own = vault.notes(changed).select("content", "source_path", "wikilink_name", "file_size", "modified_at", F.col("tags").alias("note_tags"), "metadata.title", "metadata.description", "metadata.source", F.col("id").alias("note"))
-            built = chunking.build(chunking.chunks(own), F.col("source_path"), F.col("note_tags"))
-            return built.withColumn("id", F.concat("note", F.lit("_"), F.col("position").cast("string")))
-
-        return self.store.synchronise(vault.listing(self.spark, self.root), chunk)
+        """The store follows the vault; files that can't be read are tried again the next time."""
+        return self.store.synchronise(vault.listing(self.spark, self.root), self._chunks, vault.notes)
 
     def search(self, query: str, tags: Sequence[str] = (), path: str | None = None) -> list[dict]:
         """At most 500 characters of query; any failure gives an empty list."""
@@ -146,7 +172,7 @@ class NoteTools:
         return "\n".join(entries) if entries else f"No files found in folder: {folder}"
 
     def read(self, name: str, offset: int = 0, limit: int | None = None) -> str:
-        return vault.read_note(vault.notes(vault.listing(self.spark, self.root)), name, offset, limit)
+        return vault.read_note(vault.listing(self.spark, self.root), name, offset, limit)
 
     def rename(self, old_path: str, new_path: str) -> int:
         changed = vault.rename_note(self.spark, self.root, old_path, new_path)

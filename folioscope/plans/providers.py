@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
+import zlib
+from itertools import pairwise
 from typing import Protocol
 
 import numpy as np
@@ -11,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+WORD = re.compile(r"\w+")
+
+
 class Embedder(Protocol):
     dimensions: int
 
@@ -21,13 +26,25 @@ class Chat(Protocol):
     def ask(self, prompt: str) -> str: ...
 
 
-class HashEmbedder:
-    """Vectors from SHA-256 digests, equal for equal texts."""
+class FeatureEmbedder:
+    """Signed feature hashing: each word and word pair adds 1 or -1 to a place that its hash names; unit length.
+
+    Texts that share words lie near each other, so searches over it mean something without a model.
+    """
 
-    dimensions = 16
+    def __init__(self, dimensions: int = 64):
+        self.dimensions = dimensions
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [(np.frombuffer(hashlib.sha256(t.encode()).digest(), "<u2") / 65535).astype(np.float16).astype(float).tolist() for t in texts]
+        out = np.zeros((len(texts), self.dimensions))
+        for row, text in zip(out, texts, strict=True):
+            words = WORD.findall(text.lower())
+            for weight, grams in ((1.0, words), (0.5, [f"{a} {b}" for a, b in pairwise(words)])):
+                for g in grams:
+                    h = zlib.crc32(g.encode())
+                    row[(h >> 1) % self.dimensions] += weight if h & 1 else -weight
+        lengths = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(lengths > 0, lengths, 1.0)).tolist()
 
 
 class WordOverlapChat:
@@ -42,7 +59,7 @@ class WordOverlapChat:
 
 def with_embeddings(rows: DataFrame, text: str, out: str, model: Embedder | None = None) -> DataFrame:
     """Adds vectors of a text column, in Arrow batches."""
-    own = model or HashEmbedder()
+    own = model or FeatureEmbedder()
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

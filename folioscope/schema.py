@@ -19,6 +19,9 @@ NOTE = T.StructType([
     T.StructField("modified_at", T.DoubleType(), False),
 ])
 
+#: Why a note couldn't be read; null where it could.
+ERROR = T.StructField("error", T.StringType())
+
 CHUNK = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("content", T.StringType()),

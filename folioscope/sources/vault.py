@@ -15,6 +15,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope import schema
 from folioscope.functions import text as fx
@@ -70,29 +71,30 @@ def tags_of(value) -> list[str]:
 
 
 def notes(files: DataFrame) -> DataFrame:
-    """Notes of a listing, read and parsed in parallel; files that can't be read are left out."""
+    """Notes of a listing, read and parsed in parallel, each file once. `error` says why a file couldn't be read; its note is empty."""
 
     def run(batches):
         for batch in batches:
-            out = {f.name: [] for f in schema.NOTE}
+            out = {f.name: [] for f in [*schema.NOTE, schema.ERROR]}
             for row in batch.to_pylist():
+                raw, error = "", None
                 try:
                     raw = Path(row["path"]).read_bytes().decode("utf-8", "replace")
-                except OSError:
-                    continue
+                except OSError as e:
+                    error = str(e)
                 fields, content = front_matter(raw)
                 text = lambda k, f=fields: str(f[k]) if k in f else None
                 values = {
                     "id": hashlib.md5(row["path"].encode()).hexdigest(), "content": content, "metadata": {k: text(k) for k in ("source", "description", "title")},
-                    "tags": tags_of(fields.get("tags")), "source_path": row["source_path"], "wikilink_name": Path(row["path"]).stem, "file_size": row["file_size"], "modified_at": row["modified_at"],
+                    "tags": tags_of(fields.get("tags")), "source_path": row["source_path"], "wikilink_name": Path(row["path"]).stem, "file_size": row["file_size"], "modified_at": row["modified_at"], "error": error,
                 }
                 for k, v in values.items():
                     out[k].append(v)
             meta = pa.struct([(n, pa.string()) for n in ("source", "description", "title")])
-            types = [pa.string(), pa.string(), meta, pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.float64()]
+            types = [pa.string(), pa.string(), meta, pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    return files.mapInArrow(run, schema.NOTE)
+    return files.mapInArrow(run, T.StructType([*schema.NOTE.fields, schema.ERROR]))
 
 
 def folder(paths: DataFrame, prefix: str = "", path: str = "source_path") -> DataFrame:
@@ -125,13 +127,16 @@ def resolve(chunks: DataFrame, name: str) -> str:
     return found[0]
 
 
-def read_note(all_notes: DataFrame, name: str, offset: int = 0, limit: int | None = None) -> str:
-    """A note's text, or some of its lines."""
+def read_note(files: DataFrame, name: str, offset: int = 0, limit: int | None = None) -> str:
+    """A note's text, or some of its lines; of a listing only the one file is read."""
     if error := read_request_error(name, offset, limit):
         raise ValueError(error)
-    path = resolve(all_notes, name)
-    row = all_notes.where(F.col("source_path") == path).select(fx.line_slice("content", offset, limit).alias("text")).first()
-    if row is None:
+    named = files if "wikilink_name" in files.columns else files.withColumn("wikilink_name", fx.stem("source_path"))
+    path = resolve(named, name)
+    own = files.where(F.col("source_path") == path)
+    own = own if "content" in files.columns else notes(own)
+    row = own.select(fx.line_slice("content", offset, limit).alias("text"), (F.col("error") if "error" in own.columns else F.lit(None)).alias("error")).first()
+    if row is None or row["error"] is not None:
         raise FileNotFoundError(path)
     return row["text"]
 
@@ -151,19 +156,31 @@ def rename_note(spark: SparkSession, root: str, old_path: str, new_path: str) ->
         raise FileExistsError(new_path)
     if top not in target.resolve().parents:
         raise ValueError("the target lies outside the vault")
+    old, new = source.stem, target.stem
+    rewritten = links_to(listing(spark, root), old) if old != new else []  # found before anything moves
     target.parent.mkdir(parents=True, exist_ok=True)
     source.rename(target)
-    old, new = source.stem, target.stem
-    rewritten = 0
-    if old != new:
-        quoted = re.compile(r"\[\[" + re.escape(old) + r"(\|[^\]]+)?\]\]", re.I)
-        for row in listing(spark, root).toLocalIterator():
-            path = Path(row["path"])
-            if path.is_symlink():
-                continue
-            raw = path.read_text("utf-8")
-            after = quoted.sub(lambda m: f"[[{new}{m[1] or ''}]]", raw)
-            if after != raw:
-                path.write_text(after, "utf-8")
-                rewritten += 1
-    return rewritten
+    quoted = re.compile(r"\[\[" + re.escape(old) + r"(\|[^\]]+)?\]\]", re.I)
+    for name in rewritten:
+        path = target if name == str(source.resolve()) else Path(name)
+        path.write_bytes(quoted.sub(lambda m: f"[[{new}{m[1] or ''}]]", path.read_bytes().decode("utf-8")).encode())
+    return len(rewritten)
+
+
+def links_to(files: DataFrame, name: str) -> list[str]:
+    """The resolved paths of the files that link to a name, found in parallel; those that aren't UTF-8 or are links are left as they are."""
+    quoted = re.compile(r"\[\[" + re.escape(name) + r"(\|[^\]]+)?\]\]", re.I)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for raw in batch.column(0).to_pylist():
+                path = Path(raw)
+                try:
+                    if not path.is_symlink() and quoted.search(path.read_bytes().decode("utf-8")):
+                        out.append(str(path.resolve()))
+                except (OSError, UnicodeDecodeError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["path"])
+
+    return sorted(r["path"] for r in files.select("path").mapInArrow(run, "path string").collect())

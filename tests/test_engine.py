@@ -29,7 +29,7 @@ def tools(spark, tmp_path_factory):
     (root / "sub/pears.md").write_text("# Pears\n\nPears are sweet. #fruit")
     (root / "stones.md").write_text("Stones are hard. [[apples]]")
     store = ChunkStore(spark, str(tmp_path_factory.mktemp("db") / "s"), providers.with_embeddings, 16).initialize()
-    found = engine.NoteTools(spark, str(root), store, engine.SearchEngine(store, providers.HashEmbedder()))
+    found = engine.NoteTools(spark, str(root), store, engine.SearchEngine(store, providers.FeatureEmbedder()))
     assert found.synchronise() == {"ADD": 3}
     return found
 
@@ -48,10 +48,10 @@ def test_tools(tools):
 
 def test_listwise_and_hyde(tools):
     ids = [r["id"] for r in tools.engine.hits("apples").collect()]
-    own = engine.SearchEngine(tools.store, providers.HashEmbedder(), Fixed("Here is it:\nApples."), Fixed(json.dumps([ids[-1], "none", ids[0]])))
+    own = engine.SearchEngine(tools.store, providers.FeatureEmbedder(), Fixed("Here is it:\nApples."), Fixed(json.dumps([ids[-1], "none", ids[0]])))
     assert [r["id"] for r in own.hits("apples").collect()] == [ids[-1], ids[0]]
     assert own.passage("apples") == "Apples."
-    broken = engine.SearchEngine(tools.store, providers.HashEmbedder(), Fixed(RuntimeError()), Fixed("not json"))
+    broken = engine.SearchEngine(tools.store, providers.FeatureEmbedder(), Fixed(RuntimeError()), Fixed("not json"))
     assert [r["id"] for r in broken.hits("apples").collect()] == ids
 
 
@@ -68,6 +68,49 @@ def test_service_fallback(tools):
     assert engine.with_service(hits, fails, lambda: hits.where(F.lit(False))).count() == 0
 
 
+def test_summaries_of_long_notes(spark, tmp_path):
+    class Says:  # a class of its own, so that executors get it whole
+        def __init__(self, answer):
+            self.answer = answer
+
+        def ask(self, prompt):
+            if self.answer is None:
+                raise RuntimeError
+            return self.answer
+
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v/long.md").write_text("\n\n".join(f"## Part {i}\n" + "sand and salt " * 60 for i in range(4)))
+    (tmp_path / "v/short.md").write_text("brief")
+    store = ChunkStore(spark, str(tmp_path / "db"), providers.with_embeddings).initialize()
+    engine.NoteTools(spark, str(tmp_path / "v"), store, None, Says(" all about sand ")).synchronise()
+    found = {(r["wikilink_name"], r["position"]): r for r in store.chunks().collect()}
+    assert found["long", -1]["content"] == "all about sand"
+    assert found["long", -1]["id"].endswith("_-1")
+    assert ("short", -1) not in found
+    for broken in (Says("  "), Says(None)):
+        store = ChunkStore(spark, str(tmp_path / f"db{id(broken)}"), providers.with_embeddings).initialize()
+        engine.NoteTools(spark, str(tmp_path / "v"), store, None, broken).synchronise()
+        assert store.chunks().where("position = -1").count() == 0
+
+
+def test_reranker_that_the_settings_choose(spark):
+    model = providers.FeatureEmbedder()
+    texts = ["owls nest in barns", "crabs walk on sand", None]
+    rows = spark.createDataFrame([(f"c{i}", t, model.embed([t or ""])[0], i + 1) for i, t in enumerate(texts)], "id string, content string, embeddings array<double>, hit_rank int")
+    order = lambda **own: [r["id"] for r in engine.reranked(rows, "crabs walk", own.pop("settings"), **own).collect()]
+    assert order(settings=config.Config()) == ["c0", "c1", "c2"]
+    assert order(settings=config.Config(embedding_reranker="m"), embedder=model)[0] == "c1"
+    both = config.Config(embedding_reranker="m", chat_reranker="c")
+    assert order(settings=both, embedder=model, chat=providers.WordOverlapChat())[0] == "c1"
+    proxy = config.Config(proxy_reranker="p")
+    assert order(settings=proxy, service=lambda q, t: [(i, float(i)) for i in range(len(t))]) == ["c2", "c1", "c0"]
+
+    def fails(q, t):
+        raise OSError
+
+    assert order(settings=proxy, service=fails) == ["c0", "c1", "c2"]
+
+
 def test_agent(tools):
     agent = engine.SearchAgent(tools.engine, Fixed("fruit"))
     assert agent.search("what grows?") == "fruit"

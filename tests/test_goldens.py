@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from folioscope.functions import htmltext
 from folioscope.functions import text as fx
 from folioscope.operators import evaluate, rerank, retrieval, windows
-from folioscope.operators.store import ChunkStore, NotInitializedError
-from folioscope.plans import providers, research
+from folioscope.operators import store as store_module
+from folioscope.operators.store import ChunkStore, ConflictError, NotInitializedError
+from folioscope.plans import engine, providers, research
+from folioscope.schema import Scope
 from folioscope.sources import vault, web
 
 HIT = "document_id string, position int, hit_rank int, relevance_score double"
@@ -49,13 +51,16 @@ def test_window_content_and_unions(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("[[Simple]]", ["Simple"]), ("[[Link|Display]]", ["Link"]), ("[[Link1]] and [[Link2]]", ["Link1", "Link2"]), ("[[]]", []), ("[[Link with | pipe]]", ["Link with "]), ("![[N#h]]", ["N"])],
-)
+    [
+        ("see [[Tide tables]].", ["Tide tables"]), ("[[tides|the moon's work]]", ["tides"]), ("[[b]][[a]] then [[b]]", ["a", "b"]), ("[[ ]] and [[]]", []), ("![[chart#north|map]]", ["chart"]),
+        ("[[kelp forest |x]]", ["kelp forest "]), ("[single] [[open", []), ("[[reef [old] map]]", ["reef [old] map"]),
+    ],
+)
 def test_wikilinks(spark, text, want):
     assert spark.range(1).select(fx.wikilinks(F.lit(text)).alias("x")).first()["x"] == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("#simple", ["simple"]), ("#tag1 #tag2", ["tag1", "tag2"]), ("#valid_tag #valid-tag", ["valid-tag", "valid_tag"]), ("# invalid", []), ("#CamelCase", ["CamelCase"])])
+@pytest.mark.parametrize(("text", "want"), [("#sea", ["sea"]), ("up #ebb, down #flow", ["ebb", "flow"]), ("#low_tide#high-tide #low_tide", ["high-tide", "low_tide"]), ("# heading #2nd ##", []), ("#NorthSea!", ["NorthSea"])])
 def test_hashtags(spark, text, want):
     assert spark.range(1).select(fx.hashtags(F.lit(text)).alias("x")).first()["x"] == want
 
@@ -98,35 +103,108 @@ def test_evaluation_cases(spark, tmp_path):
     assert [(r["query"], r["expected"], r["unwanted"]) for r in rows] == [("what", ["a", "b"], ["c"]), ("q", [], [])]
 
 
-def store_rows(spark):
-    rows = [
-        ("chunk_1", "Machine learning is a subset of", "ML Introduction", ["machine-learning", "ai"], "/test/doc1.md", "doc1", 0),
-        ("chunk_2", "Deep learning uses neural networks", "Deep Learning Basics", ["deep-learning"], "/test/doc2.md", "doc2", 1),
-        ("chunk_3", "Natural language processing enables learning", "NLP Overview", ["nlp", "language"], "/test/doc3.md", "doc3", 0),
-        ("chunk_4", "Python programming language is learning", "Python Basics", ["python"], "/test/doc1.md", "doc1", 0),
-    ]
+NOTES = [
+    ("reef_0", "Coral reefs shelter fish and crabs", "Reefs", ["sea", "life"], "sea/reef.md", "reef", 0),
+    ("reef_1", "Storms break coral, and crabs hide", "Reefs", ["sea"], "sea/reef.md", "reef", 1),
+    ("crab_0", "Crabs walk sideways; crabs eat crabs", "On crabs", ["life"], "sea/crab.md", "crab", 0),
+    ("barn_0", "Owls nest in the barn", "The barn", ["farm"], "farm/barn.md", "barn", 0),
+    ("owl_0", "An owl eats mice, never crabs", "Owls", ["farm", "life"], "farm/owl.md", "owl", 0),
+]
+
+
+def store_rows(spark, rows=NOTES):
     own = spark.createDataFrame(rows, "id string, content string, title string, tags array<string>, source_path string, wikilink_name string, position int")
     return own.withColumns({"description": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "outgoing_links": F.array().cast("array<string>"), "modified_at": F.lit(1.0), "offset": F.lit(0), "file_size": F.lit(7)})
 
 
+def opened(spark, path, **options):
+    return ChunkStore(spark, str(path), providers.with_embeddings, 64, **options)
+
+
 def test_store(spark, tmp_path):
-    store = ChunkStore(spark, str(tmp_path / "db"), providers.with_embeddings, 16)
+    store = opened(spark, tmp_path / "db")
     with pytest.raises(NotInitializedError):
         store.chunks()
     store.initialize().store(store_rows(spark))
-    vector = providers.HashEmbedder().embed(["learning"])[0]
-    assert store.search("learning", vector).count() == 4
-    assert store.search("learning", vector, limit=2).count() == 2
-    assert [r["id"] for r in store.search("learning", vector, tags=["machine-learning"]).collect()] == ["chunk_1"]
-    assert store.search("learning", vector, tags=["nlp"], path="/test/doc1").count() == 0
-    assert store.search_windows("learning", vector).count() >= 1
-    assert store.by_ids(["chunk_2", "none"]).count() == 1
+    vector = providers.FeatureEmbedder().embed(["crabs"])[0]
+    assert [r["id"] for r in store.search("crabs", vector).collect()][0] == "crab_0"
+    assert store.search("crabs", vector, limit=2).count() == 2
+    assert {r["id"] for r in store.search("crabs", vector, tags=["farm", "life"]).collect()} == {"owl_0"}
+    assert store.search("crabs", vector, tags=["farm"], path="sea/").count() == 0
+    assert store.search_windows("crabs", vector).count() >= 1
+    assert store.by_ids(["reef_1", "none"]).count() == 1
     assert store.by_ids([]).count() == 0
-    assert store.sources_by_name("doc1") == ["/test/doc1.md"]
-    store.reindex(files=1)
-    store.delete(["/test/doc1.md", "unknown"])
-    assert store.chunks().count() == 2
-    assert store.sources().count() == 2
+    assert store.sources_by_name("reef") == ["sea/reef.md"]
+    store.reindex()
+    store.delete(["sea/reef.md", "unknown"])
+    assert store.chunks().count() == 3
+    assert store.sources().count() == 3
+
+
+@pytest.mark.parametrize("filters", [{}, {"tags": ["life"]}, {"path": "sea/"}, {"tags": ["sea"], "path": "sea/r"}])
+@pytest.mark.parametrize("scope", list(Scope))
+def test_index_gives_the_scores_of_a_scan(spark, tmp_path_factory, filters, scope):
+    if not hasattr(test_index_gives_the_scores_of_a_scan, "store"):
+        own = opened(spark, tmp_path_factory.mktemp("index"), buckets=3).initialize()
+        own.store(store_rows(spark, NOTES[:3]))
+        own.store(store_rows(spark, NOTES[3:]))
+        test_index_gives_the_scores_of_a_scan.store = own
+    store = test_index_gives_the_scores_of_a_scan.store
+    query = "coral crabs and the owls"
+    want = retrieval.full_text(retrieval.scoped(store.chunks(), filters.get("tags", ()), filters.get("path")), query, 10, scope).collect()
+    got = store.full_text(query, 10, scope, **filters).collect()
+    assert [(r["id"], r["rank"]) for r in got] == [(r["id"], r["rank"]) for r in want]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want])
+
+
+def test_changes_touch_only_their_buckets(spark, tmp_path):
+    store = opened(spark, tmp_path / "db").initialize()
+    store.store(store_rows(spark))
+    _, before = store._latest()
+    store.delete(["farm/owl.md"])
+    _, after = store._latest()
+    moved = {b for b in before["folders"]["chunks"] if before["folders"]["chunks"][b] != after["folders"]["chunks"].get(b)}
+    assert len(moved) == 1
+    assert store.full_text("owl", 5).count() == 0
+    assert [r["id"] for r in store.full_text("owls", 5).collect()] == ["barn_0"]
+    assert len(store.snapshots()) == 2
+    assert sum(s[0] for s in after["sizes"].values()) == 4
+
+
+def test_concurrent_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    a, b = opened(spark, tmp_path / "db").initialize(), opened(spark, tmp_path / "db")
+    own, raced = a._publish, []
+
+    def slow(version, state):  # another writer commits between this one's work and its commit
+        if not raced:
+            raced.append(version)
+            b.store(store_rows(spark, NOTES[3:]))
+        return own(version, state)
+
+    a._publish = slow
+    a.store(store_rows(spark, NOTES[:3]))
+    assert {r["id"] for r in b.chunks().collect()} == {n[0] for n in NOTES}
+    assert not own(a.snapshots()[-1], {})
+    a._publish = lambda version, state: False
+    monkeypatch.setattr(store_module, "TRIES", 2)
+    with pytest.raises(ConflictError):
+        a.delete(["sea/reef.md"])
+
+
+def test_unreadable_files_are_tried_again(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v/a.md").write_text("one")
+    (tmp_path / "v/b.md").write_text("two")
+    store = opened(spark, tmp_path / "db").initialize()
+    tools = engine.NoteTools(spark, str(tmp_path / "v"), store, None)
+    files = vault.listing(spark, str(tmp_path / "v")).withColumn("path", F.when(F.col("source_path") == "b.md", "/nowhere/b.md").otherwise(F.col("path")))
+    assert store.synchronise(files, tools._chunks, vault.notes) == {"ADD": 2, "FAILED": 1}
+    assert [r["source_path"] for r in store.sources().collect()] == ["a.md"]
+    assert tools.synchronise() == {"KEEP": 1, "ADD": 1}
+    assert sorted(r["content"] for r in store.chunks().collect()) == ["one", "two"]
+    newer = files.withColumn("modified_at", F.col("modified_at") + 9)
+    assert store.synchronise(newer, tools._chunks, vault.notes) == {"REPLACE": 2, "FAILED": 1}
+    assert sorted(r["content"] for r in store.chunks().collect()) == ["one", "two"]  # the old text of the unreadable one stays
 
 
 def test_vault_sync(spark, tmp_path):
@@ -149,15 +227,15 @@ def test_vault_sync(spark, tmp_path):
     from folioscope.operators import chunking
 
     def chunk(changed):
-        own = chunking.chunks(vault.notes(changed).withColumnRenamed("id", "note"))
+        own = chunking.chunks(changed.withColumnRenamed("id", "note"))
         built = chunking.build(own.withColumnRenamed("tags", "nt"), F.col("source_path"), F.col("nt"))
         return built.withColumns({"title": F.col("metadata.title"), "description": F.col("metadata.description"), "source": F.col("metadata.source")})
 
     store = ChunkStore(spark, str(tmp_path / "db"), providers.with_embeddings).initialize()
-    assert store.synchronise(files, chunk) == {"ADD": 4}
-    assert store.synchronise(files, chunk) == {"KEEP": 4}
+    assert store.synchronise(files, chunk, vault.notes) == {"ADD": 4}
+    assert store.synchronise(files, chunk, vault.notes) == {"KEEP": 4}
     (root / "sub/b.md").unlink()
-    assert store.synchronise(vault.listing(spark, str(root)), chunk) == {"KEEP": 3, "DELETE": 1}
+    assert store.synchronise(vault.listing(spark, str(root)), chunk, vault.notes) == {"KEEP": 3, "DELETE": 1}
     assert vault.rename_note(spark, str(root), "a.md", "new.md") == 0
     assert [r["entry"] for r in vault.folder(vault.listing(spark, str(root))).collect()] == ["bad", "new", "sub/"]
 
@@ -221,6 +299,32 @@ def test_research(spark):
     assert research.merged_evidence("a", "b") == "a\n\nb"
 
 
+def test_rename_skips_what_it_cannot_read(spark, tmp_path):
+    (tmp_path / "a.md").write_text("me")
+    (tmp_path / "b.md").write_text("to [[a]] and [[A|x]]")
+    (tmp_path / "c.md").write_bytes(b"\xff\xfe [[a]]")
+    assert vault.rename_note(spark, str(tmp_path), "a.md", "sub/z.md") == 1
+    assert (tmp_path / "b.md").read_text() == "to [[z]] and [[z|x]]"
+    assert (tmp_path / "c.md").read_bytes() == b"\xff\xfe [[a]]"
+    assert (tmp_path / "sub/z.md").read_text() == "me"
+
+
+def test_evaluation_means(spark):
+    rows = spark.createDataFrame([(1.0, 0.5, 0.6, None), (0.0, 1.0, 0.4, None), (0.0, 0.0, 0.0, "failed")], "precision double, recall double, f_score double, error string")
+    row = evaluate.means(rows).first()
+    assert (row["cases"], row["precision"], row["recall"], row["f_score"], row["grade"]) == (2, 0.5, 0.75, 0.5, "good")
+    ranks = spark.createDataFrame([(1.0, 0.4), (0.0, 0.8)], "position_accuracy double, overlap_accuracy double")
+    assert evaluate.mean_agreement(ranks).first()["overlap_accuracy"] == pytest.approx(0.6)
+
+
+def test_embedder_places_alike_texts_near():
+    a, b, c = providers.FeatureEmbedder().embed(["crabs walk on sand", "crabs walk on the sand", "owls nest in barns"])
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    assert dot(a, a) == pytest.approx(1)
+    assert dot(a, b) > 0.5 > dot(a, c)
+    assert providers.FeatureEmbedder(8).embed([""]) == [[0.0] * 8]
+
+
 def test_markdown():
     assert htmltext.to_markdown("<h2>T</h2><ul><li>a<li>b</ul><script>x</script><p>q <b>r</b> <a href='u'>s</a>") == "## T\n\n* a\n* b\n\nq **r** [s](u)"
     assert htmltext.to_markdown(None) is None
