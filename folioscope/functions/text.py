@@ -9,8 +9,18 @@ from pyspark.sql import functions as F
 WIKILINK = r"!?\[\[([^\[\]|#]*(?:\[[^\[\]]*\][^\[\]|#]*)*)(?:#[^\[\]|]*)?(?:\|[^\[\]]*)?\]\]"
 HASHTAG = r"#([a-zA-Z][a-zA-Z0-9_-]*)"
 HEADER = r"^#{1,3}\s+.+$"
-#: Answers of models that begin a line with one of these are chatter.
-CHATTER = r"(?im)^(?:here is|here's|sure|certainly|below is)\b.*?\n"
+#: Lines of a model's answer that begin with an opening are chatter; of remarks only the words themselves.
+OPENINGS = ("here is", "here's", "this is", "a hypothetical", "mock snippet", "sure, here", "snippet:")
+REMARKS = ("certainly", "absolutely", "hope this helps")
+FENCE = r"(?s)```(?:[a-zA-Z0-9+#-]+)?\n(.*?)```"
+#: MediaWiki markup that goes, and what inline markup becomes, in this order.
+WIKI_DROPPED = (r"(?s)<ref[^>]*>.*?</ref>", r"<ref[^>]*/>", r"\{\{[^{}]*\}\}")
+WIKI_INLINE = ((r"(?d)'''(.*?)'''", "**$1**"), (r"(?d)''(.*?)''", "*$1*"), (r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", "$1"), (r"(?md)^\*(?!\*)\s?", "- "))
+#: What a page that can't be had is answered with.
+ERROR_4XX, ERROR_TIMEOUT, ERROR_CONTENT, ERROR_EMPTY = "ERROR: http code 4xx", "ERROR: request timeout", "ERROR: unsupported content", "ERROR: empty response"
+#: Where a line ends, as str.splitlines() has it, for splitting with and without the ends.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+AFTER_LINE = r"(?<=[\n\x0B\x0C\x1C-\x1E\x85\u2028\u2029])|(?<=\r)(?!\n)"
 RUBRIC = (("perfect", 1.0), ("good", 0.75), ("some", 0.5), ("bad", 0.25))
 
 
@@ -64,17 +74,17 @@ def line_slice(text: Column | str, offset: int = 0, limit: int | None = None) ->
     """Lines offset to offset + limit with their terminators; an offset beyond the end or a limit of 0 gives ''."""
     if limit == 0:
         return F.when(_col(text).isNotNull(), F.lit(""))
-    parts = F.split(_col(text), r"(?<=\n)")
+    parts = F.split(_col(text), AFTER_LINE)
     return F.array_join(F.slice(parts, offset + 1, F.size(parts) if limit is None else F.lit(limit)), "")
 
 
 def clean_generated(text: Column | str, most_words: int = 120) -> Column:
-    """A model's passage without chatter and code fences, at most so many words long."""
-    t = F.regexp_replace(stripped(text), CHATTER, "")
-    fenced = F.regexp_extract(t, r"(?s)```(?:\w+\n)?(.*?)```", 1)
-    t = stripped(F.when(fenced != "", fenced).otherwise(F.replace(t, F.lit("`"), F.lit(""))))
-    words = F.split(t, r"\s+")
-    return F.when(F.size(words) > most_words, F.array_join(F.slice(words, 1, most_words), " ")).otherwise(t)
+    """A model's passage without chatter: what a fence holds, or all of it without fence marks; at most so many words."""
+    t = F.regexp_replace(stripped(text), rf"(?imd)^(?:{'|'.join(OPENINGS)})\b.*?\n", "")
+    t = stripped(F.regexp_replace(t, rf"(?imd)^(?:{'|'.join(REMARKS)})[.,!:\s]*", ""))
+    t = F.when(t.rlike(FENCE), stripped(F.regexp_extract(t, FENCE, 1))).otherwise(F.replace(t, F.lit("```"), F.lit("")))
+    words = F.split(stripped(t), r"\s+")
+    return F.when(F.size(words) > most_words, F.array_join(F.slice(words, 1, most_words), " ")).otherwise(stripped(t))
 
 
 def parse_tags(text: Column | str) -> Column:
@@ -84,15 +94,15 @@ def parse_tags(text: Column | str) -> Column:
 
 
 def mediawiki(text: Column | str) -> Column:
-    """MediaWiki markup as Markdown: references and templates go, headings, emphasis, links and bullets turn."""
-    t = F.regexp_replace(_col(text), r"(?s)<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "")
-    t = F.regexp_replace(t, r"(?s)\{\{[^{}]*\}\}", "")
-    for level in range(6, 1, -1):
-        t = F.regexp_replace(t, rf"(?md)^={{{level}}}[ \t]*([^=\n]+?)[ \t]*={{{level}}}[ \t]*$", "#" * (level - 1) + r" $1")
-    t = F.regexp_replace(F.regexp_replace(t, r"'''(.+?)'''", r"**$1**"), r"''(.+?)''", r"*$1*")
-    t = F.regexp_replace(F.regexp_replace(t, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", r"$1"), r"\[\[([^\[\]|]*)\]\]", r"$1")
-    t = F.regexp_replace(t, r"\[(https?://[^\s\]]+)\s+([^\]]+)\]", r"[$2]($1)")
-    return stripped(F.regexp_replace(t, r"(?md)^\*+[ \t]*", "- "))
+    """MediaWiki markup as Markdown: references and templates go, headings rise a level, emphasis, links and first-level bullets turn."""
+    t = _col(text)
+    for dropped in WIKI_DROPPED:
+        t = F.regexp_replace(t, dropped, "")
+    for level in range(6, 1, -1):  # of more marks than both ends share, the rest belongs to the heading
+        t = F.regexp_replace(t, rf"(?md)^={{{level}}}\s*(.*?)\s*={{{level}}}\s*$", "#" * (level - 1) + " $1")
+    for markup, becomes in WIKI_INLINE:
+        t = F.regexp_replace(t, markup, becomes)
+    return stripped(t)
 
 
 def looks_like_html(text: Column | str) -> Column:
@@ -112,8 +122,9 @@ def plain_text(text: Column | str) -> Column:
 
 
 def error_message(status: Column | str, timed_out: Column | str) -> Column:
+    """What a failed request is answered with; null for one that succeeded."""
     s = _col(status)
-    return F.when(_col(timed_out), "ERROR: request timed out").when((s >= 400) & (s < 500), F.concat(F.lit("ERROR: page is not accessible, status "), s.cast("string"))).when(s >= 500, "ERROR: failed to fetch")
+    return F.when(_col(timed_out), ERROR_TIMEOUT).when((s >= 400) & (s < 500), ERROR_4XX).when(~s.between(200, 299), ERROR_CONTENT)
 
 
 def model_text(content: Column | str) -> Column:

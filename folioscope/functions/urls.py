@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Where a repository's front page may lie.
-BRANCHES, READMES = ("main", "master"), ("README.md", "readme.md", "README.rst", "README")
+BRANCHES, READMES = ("main", "master"), ("README.md", "README.rst", "README.txt", "README")
 
 
 def host(url: Column) -> Column:

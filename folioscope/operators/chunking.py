@@ -119,7 +119,7 @@ def chunks(notes: DataFrame, kind: str = "semantic", **options: int) -> DataFram
 
 def lines(notes: DataFrame, key: str, content: str = "content") -> DataFrame:
     """(key, line number from 0, line)."""
-    return notes.select(key, F.posexplode(F.split(F.col(content), "\n")).alias("line_no", "line"))
+    return notes.select(key, F.posexplode(F.split(F.col(content), fx.LINE_END)).alias("line_no", "line"))
 
 
 def header_sections(notes: DataFrame, key: str, content: str = "content") -> DataFrame:

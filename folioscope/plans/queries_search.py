@@ -58,7 +58,7 @@ _TOK = "list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{
 
 @query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(c='text')}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
 def token_df_tf(spark, d):
-    return retrieval.term_statistics(table(spark, d, "documents"), "text", "doc_id")
+    return retrieval.term_statistics(table(spark, d, "documents"), "text")
 
 
 def _bm25_sql(table_name: str, column: str, key: str = "doc_id") -> str:
@@ -105,7 +105,9 @@ FROM h JOIN b ON b.doc_id = h.id JOIN l ON l.doc_id = h.id AND l.position BETWEE
 def hybrid_search(spark, d):
     """Full text and vectors fused, the best documents' first matching lines as hits, and merged neighbour windows."""
     best = _fused(spark, d, 20).select(F.col("id").alias("doc_id"), F.col("rank").alias("hit_rank"))
-    lines = table(spark, d, "documents").join(F.broadcast(best), "doc_id").select("doc_id", "hit_rank", F.posexplode(F.split("text", "\n")).alias("position", "content"))
+    # The 20 texts are exchanged once; the hits and the stored lines both read that exchange.
+    texts = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(best), "doc_id").repartition("doc_id")
+    lines = texts.select("doc_id", "hit_rank", F.posexplode(F.split("text", "\n")).alias("position", "content"))
     own = lines.where(F.lower("content").rlike(r"\bthe\b|\band\b")).groupBy("doc_id", "hit_rank").agg(F.min("position").alias("position"))
     found = own.select(F.col("doc_id").cast("string").alias("document_id"), "position", "hit_rank", F.lit(None).cast("double").alias("relevance_score"))
     empty = F.array().cast("array<string>")
@@ -133,13 +135,12 @@ def weighted_fusion_rerank(spark, d):
     return rerank.with_rubric(own, "answer").select("id", F.round("relevance_score", 6).alias("relevance_score"))
 
 
-_RUBRICS = ["Perfect match", "somewhat GOOD", "some", "bad, but perfect", "none", ""]
+_RUBRIC = "CASE doc_id % 6 WHEN 0 THEN 'Perfect match' WHEN 1 THEN 'somewhat GOOD' WHEN 2 THEN 'some' WHEN 3 THEN 'bad, but perfect' WHEN 4 THEN text ELSE '' END"
 
 
-@query("SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, 0.75), (2, 0.5), (3, 1.0), (4, 0.0), (5, 0.0)) AS t(n, score)")
+@query(f"""SELECT doc_id, CASE WHEN a ILIKE '%perfect%' THEN 1.0 WHEN a ILIKE '%good%' THEN 0.75 WHEN a ILIKE '%some%' THEN 0.5 WHEN a ILIKE '%bad%' THEN 0.25 ELSE 0.0 END::DOUBLE AS score FROM (SELECT doc_id, {_RUBRIC} AS a FROM documents)""")
 def rubric_score(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_RUBRICS)), "n int, answer string")
-    return rows.select("n", fx.rubric_score("answer").alias("score"))
+    return table(spark, d, "documents").select("doc_id", fx.rubric_score(F.expr(_RUBRIC)).alias("score"))
 
 
 @query("""WITH l AS (SELECT unnest([7, 3, 999999, 7, 12, 0, 3]) AS doc_id, generate_subscripts([7, 3, 999999, 7, 12, 0, 3], 1) - 1 AS p)
@@ -291,23 +292,25 @@ def topk_overlap(spark, d):
     return evaluate.rank_agreement(first, own)
 
 
-@query(f"""WITH {NOTES} SELECT doc_id, '## ' || title || ' (Score: ' || printf('%.3f', doc_id / 1000.0) || ')' || chr(10) || chr(10) || '**Source:** ' || source_path || chr(10) || chr(10)
-  || CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '...' ELSE text END || chr(10) || chr(10) || '**Tags:** ' || lang || ', ' || source AS item FROM notes""")
+_TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_SHORT = "CASE WHEN length({t}) > {n} THEN substr({t}, 1, {n}) || '...' ELSE {t} END"
+
+
+@query(f"""WITH {NOTES} SELECT doc_id, '# Result ' || doc_id || ' (Score: ' || printf('%.3f', doc_id / 1000.0) || ') ' || chr(10) || '**Source:** `' || source_path || '`' || chr(10) || '**Content:**' || chr(10) || '```' || chr(10)
+  || {_SHORT.format(t=_TRIMMED, n=1000)} || chr(10) || '```' || chr(10) || '**Tags:** #' || lang || ', #' || source || chr(10) || '**Links:** [[' || wikilink_name || ']]' || chr(10) AS item FROM notes""")
 def markdown_format(spark, d):
-    none = F.array().cast("array<string>")
     own = notes(spark, d)
-    return own.select("doc_id", formats.markdown_item(F.col("title"), F.col("doc_id") / 1000.0, F.col("source_path"), F.col("text"), F.col("tags"), none).alias("item"))
+    return own.select("doc_id", formats.markdown_item(F.col("doc_id"), F.col("doc_id") / 1000.0, F.col("source_path"), F.col("text"), F.col("tags"), F.array("wikilink_name")).alias("item"))
 
 
 @query(f"""WITH {NOTES}, best AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_BM25} ORDER BY r LIMIT 8),
-items AS (SELECT r, r || '. ' || title || ': ' || CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END || ' [' || lang || ', ' || source || ']' AS item FROM best JOIN notes ON doc_id = id)
-SELECT string_agg(item, chr(10) ORDER BY r) FILTER (WHERE r <= 3) || chr(10) || '... and 5 more results)' AS text FROM items""")
+items AS (SELECT r, '**' || r || '.** Source: ' || source_path || ')' || chr(10) || '   ' || {_SHORT.format(t=_TRIMMED, n=150)} || chr(10) || 'Tags: #' || lang || ', #' || source || chr(10) AS item FROM best JOIN notes ON doc_id = id)
+SELECT string_agg(item, chr(10) ORDER BY r) FILTER (WHERE r <= 3) || chr(10) || '... and 5 more results' AS text FROM items""")
 def compact_format(spark, d):
     """The eight best documents of a search as a compact list."""
     none, own = F.array().cast("array<string>"), notes(spark, d)
-    best = retrieval.bm25(own, QUERY, ["text"], "doc_id").orderBy(F.desc("score"), "doc_id").limit(8)
-    rows = retrieval.ranked(best, "score", "doc_id", True).join(own, "doc_id")
-    items = rows.select("rank", formats.compact_item(F.col("rank"), F.col("title"), F.lit(None).cast("double"), F.col("text"), F.col("tags"), none).alias("item"))
+    rows = retrieval.best(retrieval.bm25(own, QUERY, ["text"], "doc_id"), 8, "doc_id").join(own, "doc_id")
+    items = rows.select("rank", formats.compact_item(F.col("rank"), F.lit(None).cast("double"), F.col("source_path"), F.col("text"), F.col("tags"), none).alias("item"))
     return formats.compact(items, "item", "rank")
 
 

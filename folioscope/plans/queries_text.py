@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as fx
-from folioscope.operators import chunking, retrieval
+from folioscope.operators import chunking, retrieval, sync
 from folioscope.plans.tables import NOTES, notes, table
 from folioscope.sources import vault
 
@@ -29,18 +29,19 @@ def flat(array) -> F.Column:
 
 @query("SELECT user_id, min(epoch_us(ts)) AS modified_us FROM events GROUP BY user_id")
 def sources_min_mtime(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("modified_us"))
+    own = table(spark, d, "events").select(F.col("user_id").alias("source_path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("modified_at"))
+    return sync.stored_sources(own).select(F.col("source_path").alias("user_id"), F.col("modified_at").alias("modified_us"))
 
 
 @query("SELECT DISTINCT source FROM documents WHERE lang = 'de' ORDER BY source")
 def distinct_sources_by_name(spark, d):
-    return table(spark, d, "documents").where("lang = 'de'").select("source").distinct().orderBy("source")
+    return retrieval.sources_named(table(spark, d, "documents"), "de", "lang", "source").orderBy("source")
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT item_id * 3 FROM benchmark)")
 def ids_lookup_semi(spark, d):
     ids = table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("doc_id"))
-    return table(spark, d, "documents").join(ids, "doc_id", "left_semi").select("doc_id", "lang", "n_chars")
+    return retrieval.with_ids(table(spark, d, "documents"), ids, "doc_id").select("doc_id", "lang", "n_chars")
 
 
 @query("SELECT doc_id, source FROM documents WHERE starts_with(source, 'src1')")
@@ -64,14 +65,14 @@ def tags_and_path_filter(spark, d):
     return retrieval.scoped(notes(spark, d), ["fr"], "src7/").select("doc_id", "source_path")
 
 
-_PATHS = ["a/b.md", ".git/config.md", "project/.git/x.md", ".hidden.md", "a/.hid/y.md", "node_modules/p/q.md", "x/__pycache__/z.md", ".obsidian/w.md", "notes/.trash/old.md", "deep/er/note.md", "top.md"]
-_PATH_ROWS = ", ".join(f"('{p}')" for p in _PATHS)
+#: Folders in front of paths, by doc_id; SQL that both engines read.
+_PATH = "CASE doc_id % 8 WHEN 0 THEN '.git/' WHEN 1 THEN 'project/.git/' WHEN 2 THEN '.' WHEN 3 THEN 'a/.hid/' WHEN 4 THEN 'node_modules/p/' WHEN 5 THEN 'notes/.trash/' WHEN 6 THEN 'x/__pycache__/' ELSE '' END || source_path"
 
 
-@query(rf"SELECT path, NOT regexp_matches(path, '\.git/|\.obsidian/|\.trash/|node_modules/|__pycache__/|\.vault_db/|^\..*') AS allowed FROM (VALUES {_PATH_ROWS}) AS t(path)")
+@query(rf"WITH {NOTES} SELECT doc_id, path, NOT regexp_matches(path, '\.git/|\.obsidian/|\.trash/|node_modules/|__pycache__/|\.vault_db/|^\..*') AS allowed FROM (SELECT doc_id, {_PATH} AS path FROM notes)")
 def skip_pattern_filter(spark, d):
-    rows = spark.createDataFrame([(p,) for p in _PATHS], "path string")
-    return rows.select("path", vault.allowed(F.col("path")).alias("allowed"))
+    rows = notes(spark, d).select("doc_id", F.expr(_PATH).alias("path"))
+    return rows.select("doc_id", "path", vault.allowed(F.col("path")).alias("allowed"))
 
 
 @query(f"WITH {NOTES} SELECT DISTINCT split_part(substr(source_path, 6), '/', 1) || '/' AS entry FROM notes WHERE starts_with(source_path, 'src1/')")
@@ -165,26 +166,28 @@ def chunk_build(spark, d):
     return built.select("doc_id", "position", "id", flat(F.col("outgoing_links")).alias("links"), flat(F.col("tags")).alias("all_tags"))
 
 
-_HYDE = ["Here is a passage:\nThe sea is blue.", "```text\nfenced answer\n```", "plain `code` words", "  spaced   out  answer ", "sure, fine\nthen this"]
-_HYDE_ROWS = ", ".join("(" + str(i) + ", '" + x.replace("\n", "' || chr(10) || '") + "')" for i, x in enumerate(_HYDE))
+#: What a model might answer, by doc_id; SQL that both engines read.
+_NL = "chr(10)"
+_HYDE = f"""CASE doc_id % 7 WHEN 0 THEN 'Here is a passage:' || {_NL} || text WHEN 1 THEN '```text' || {_NL} || text || {_NL} || '```' WHEN 2 THEN 'Certainly! ' || text
+  WHEN 3 THEN 'plain `code` and ``` loose ' || text WHEN 4 THEN {_NL} || 'This is it' || {_NL} || 'snippet: x' || {_NL} || text WHEN 5 THEN '  sure, here you are' || {_NL} || 'absolutely, ' || text || ' ' ELSE text END"""
+_OPENINGS, _REMARKS = ("|".join(x).replace("'", "''") for x in (fx.OPENINGS, fx.REMARKS))
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-@query(rf"""WITH t(n, raw) AS (VALUES {_HYDE_ROWS}), a AS (SELECT n, regexp_replace(trim(raw, ' ' || chr(10)), '(?im)^(?:here is|here''s|sure|certainly|below is)\b.*?\n', '', 'g') AS x FROM t),
-b AS (SELECT n, trim(CASE WHEN regexp_extract(x, '(?s)```(?:\w+\n)?(.*?)```', 1) <> '' THEN regexp_extract(x, '(?s)```(?:\w+\n)?(.*?)```', 1) ELSE replace(x, '`', '') END, ' ' || chr(10)) AS x FROM a)
-SELECT n, CASE WHEN len(regexp_split_to_array(x, '\s+')) > 4 THEN array_to_string(list_slice(regexp_split_to_array(x, '\s+'), 1, 4), ' ') ELSE x END AS cleaned FROM b""")
+@query(rf"""WITH t AS (SELECT doc_id, {_STRIPPED.format(_HYDE)} AS x FROM documents),
+a AS (SELECT doc_id, regexp_replace(x, '(?im)^(?:{_OPENINGS})\b.*?\n', '', 'g') AS x FROM t), b AS (SELECT doc_id, {_STRIPPED.format(f"regexp_replace(x, '(?im)^(?:{_REMARKS})[.,!:\s]*', '', 'g')")} AS x FROM a),
+c AS (SELECT doc_id, {_STRIPPED.format(f"CASE WHEN regexp_matches(x, '{fx.FENCE}') THEN regexp_extract(x, '{fx.FENCE}', 1) ELSE replace(x, '```', '') END")} AS x FROM b)
+SELECT doc_id, CASE WHEN len(regexp_split_to_array(x, '\s+')) > 120 THEN array_to_string(list_slice(regexp_split_to_array(x, '\s+'), 1, 120), ' ') ELSE x END AS cleaned FROM c""")
 def hyde_clean(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_HYDE)), "n int, raw string")
-    return rows.select("n", fx.clean_generated("raw", 4).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", fx.clean_generated(F.expr(_HYDE)).alias("cleaned"))
 
 
-_TAGS = ["#a, b,,c", "one\n#two\n ##three ", "", " , ", "x"]
-_TAG_ROWS = ", ".join("(" + str(i) + ", '" + x.replace("\n", "' || chr(10) || '") + "')" for i, x in enumerate(_TAGS))
+_TAGS = "'#' || lang || ', ' || source || chr(10) || ' ##t' || doc_id % 9 || ' ,,' || substring(text, 1, 20)"
 
 
-@query(f"""SELECT n, array_to_string(list_filter(list_transform(string_split(replace(raw, chr(10), ','), ','), lambda x: regexp_replace(trim(x), '^#+', '')), lambda x: trim(x) <> ''), '|') AS tags FROM (VALUES {_TAG_ROWS}) AS t(n, raw)""")
+@query(f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace({_TAGS}, chr(10), ','), ','), lambda x: regexp_replace(trim(x), '^#+', '')), lambda x: trim(x) <> ''), '|') AS tags FROM documents""")
 def tag_parse(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_TAGS)), "n int, raw string")
-    return rows.select("n", flat(fx.parse_tags("raw")).alias("tags"))
+    return table(spark, d, "documents").select("doc_id", flat(fx.parse_tags(F.expr(_TAGS))).alias("tags"))
 
 
 @query(rf"WITH {NOTES} SELECT doc_id, regexp_replace(content, '(?i)\[\[N7(\|[^\]]+)?\]\]', '[[moved\1]]', 'g') AS content FROM notes WHERE regexp_matches(content, '(?i)\[\[N7(\|[^\]]+)?\]\]')")
@@ -202,13 +205,7 @@ def truncate_marker(spark, d):
 @query("SELECT lang, count(*) AS files, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY md5(CAST(doc_id AS VARCHAR))) FILTER (WHERE n <= 3) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR))) AS n FROM documents) GROUP BY lang")
 def folder_sample(spark, d):
     """Three notes of each folder by the order of their hashes."""
-    from pyspark.sql import Window
-
-    key = F.md5(F.col("doc_id").cast("string"))
-    own = table(spark, d, "documents").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(key)).alias("n"))
-    counts = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"))
-    few = own.where("n <= 3").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id"))).alias("s"))
-    return counts.join(few, "lang").select("lang", "files", F.array_join(F.transform("s.doc_id", lambda x: x.cast("string")), ",").alias("sample"))
+    return vault.samples(table(spark, d, "documents"), "lang", "doc_id", 3).select("lang", "files", F.array_join(F.transform("sample", lambda x: x.cast("string")), ",").alias("sample"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'click'")
@@ -223,10 +220,9 @@ def joined_lengths(spark, d):
     return table(spark, d, "documents").select("doc_id", fx.joined_length(parts).cast("long").alias("joined_length"))
 
 
-_MODEL = ['plain answer', '[{"text": "one"}, {"text": "two"}]', '[{"text": null}, {"text": "x"}]', ""]
+_MODEL = """CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '[{"text": "' || lang || '"}, {"text": "' || source || '"}]' WHEN 2 THEN '[{"text": null}, {"text": "x' || doc_id || '"}]' ELSE '' END"""
 
 
-@query("SELECT * FROM (VALUES (0, 'plain answer'), (1, 'onetwo'), (2, 'x'), (3, '')) AS t(n, answer)")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN lang || source WHEN 2 THEN 'x' || doc_id ELSE '' END AS answer FROM documents")
 def model_text_parts(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_MODEL)), "n int, raw string")
-    return rows.select("n", fx.model_text("raw").alias("answer"))
+    return table(spark, d, "documents").select("doc_id", fx.model_text(F.expr(_MODEL)).alias("answer"))

@@ -28,34 +28,33 @@ def query(sql: str | None = None):
     return add
 
 
-URLS = [
-    "https://arxiv.org/abs/2301.00001", "http://export.arxiv.org/pdf/2301.00002v2.pdf", "https://en.wikipedia.org/wiki/Apache_Spark", "https://www.reddit.com/r/x/comments/1/", "https://github.com/a/b",
-    "https://github.com/a/b/blob/main/x/y.py", "https://github.com/a", "https://Example.COM:8080/p?q=1", "ftp://host/f", "not a url", "", "https://notarxiv.organic/abs/1",
-]
-_ROWS = ", ".join(f"({i}, '{u}')" for i, u in enumerate(URLS))
-_KINDS = rf"""u AS (SELECT n, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM (VALUES {_ROWS}) AS t(n, url)),
+#: URLs of each kind around those of the pages; SQL that both engines read.
+URL = """CASE page_id % 13 WHEN 0 THEN 'https://arxiv.org/abs/2301.' || page_id WHEN 1 THEN 'http://export.arxiv.org/pdf/2301.' || page_id || 'v2.pdf' WHEN 2 THEN 'https://en.wikipedia.org/wiki/Page_' || page_id
+  WHEN 3 THEN 'https://www.reddit.com/r/x/comments/' || page_id || '/' WHEN 4 THEN 'https://github.com/a/b' || page_id WHEN 5 THEN 'https://github.com/a/b/blob/main/x/' || page_id || '.py' WHEN 6 THEN 'https://github.com/a'
+  WHEN 7 THEN 'https://Example.COM:8080/p?q=' || page_id WHEN 8 THEN 'ftp://host/' || page_id WHEN 9 THEN 'not a url ' || page_id WHEN 10 THEN 'https://notarxiv.organic/abs/1' ELSE url END"""
+_KINDS = rf"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM (SELECT page_id, {URL} AS url FROM pages)),
 k AS (SELECT *, CASE WHEN NOT regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+') THEN 'invalid' WHEN h = 'arxiv.org' OR h LIKE '%.arxiv.org' THEN 'arxiv' WHEN contains(h, '.wikipedia.org') THEN 'wikipedia'
   WHEN h = 'reddit.com' OR h LIKE '%.reddit.com' THEN 'reddit' WHEN h = 'github.com' AND contains(p, '/blob/') THEN 'github_blob' WHEN h = 'github.com' AND len(list_filter(string_split(p, '/'), lambda x: x <> '')) = 2 THEN 'github_repo' ELSE 'page' END AS kind FROM u)"""
 
 
-def _urls(spark):
-    return spark.createDataFrame(list(enumerate(URLS)), "n int, url string")
+def _urls(spark, d):
+    return table(spark, d, "pages").select("page_id", F.expr(URL).alias("url"))
 
 
-@query(f"WITH {_KINDS} SELECT n, kind, h AS host FROM k")
+@query(f"WITH {_KINDS} SELECT page_id, kind, h AS host FROM k")
 def url_classify(spark, d):
-    return _urls(spark).select("n", urls.kind(F.col("url")).alias("kind"), urls.host(F.col("url")).alias("host"))
+    return _urls(spark, d).select("page_id", urls.kind(F.col("url")).alias("kind"), urls.host(F.col("url")).alias("host"))
 
 
-@query(rf"""WITH {_KINDS} SELECT n, CASE kind WHEN 'arxiv' THEN 'https://arxiv.org/html/' || regexp_extract(p, '^/(?:abs|pdf|html)/([^/]+?)(?:\.pdf)?(?:/|$)', 1) WHEN 'wikipedia' THEN 'https://' || h || '/w/index.php?title=' || regexp_replace(p, '^/wiki/', '') || '&action=raw'
-  WHEN 'reddit' THEN regexp_replace(url, '/+$', '') || '.json' WHEN 'github_blob' THEN 'https://raw.githubusercontent.com/a/b/main/x/y.py' WHEN 'github_repo' THEN 'https://raw.githubusercontent.com/a/b/main/README.md' WHEN 'page' THEN url END AS first_candidate FROM k""")
+@query(rf"""WITH {_KINDS} SELECT page_id, CASE kind WHEN 'arxiv' THEN 'https://arxiv.org/html/' || regexp_extract(p, '^/(?:abs|pdf|html)/([^/]+?)(?:\.pdf)?(?:/|$)', 1) WHEN 'wikipedia' THEN 'https://' || h || '/w/index.php?title=' || regexp_replace(p, '^/wiki/', '') || '&action=raw'
+  WHEN 'reddit' THEN regexp_replace(url, '/+$', '') || '.json' WHEN 'github_blob' THEN 'https://raw.githubusercontent.com' || replace(p, '/blob/', '/') WHEN 'github_repo' THEN 'https://raw.githubusercontent.com' || p || '/main/README.md' WHEN 'page' THEN url END AS first_candidate FROM k""")
 def url_rewrite(spark, d):
-    return _urls(spark).select("n", F.get(urls.fetch_candidates(F.col("url")), F.lit(0)).alias("first_candidate"))
+    return _urls(spark, d).select("page_id", F.get(urls.fetch_candidates(F.col("url")), F.lit(0)).alias("first_candidate"))
 
 
-@query(rf"WITH {_KINDS} SELECT n, regexp_extract(p, '^/(?:abs|pdf|html)/([^/]+?)(?:\.pdf)?(?:/|$)', 1) AS paper FROM k")
+@query(rf"WITH {_KINDS} SELECT page_id, regexp_extract(p, '^/(?:abs|pdf|html)/([^/]+?)(?:\.pdf)?(?:/|$)', 1) AS paper FROM k")
 def arxiv_id(spark, d):
-    return _urls(spark).select("n", urls.arxiv_id(F.col("url")).alias("paper"))
+    return _urls(spark, d).select("page_id", urls.arxiv_id(F.col("url")).alias("paper"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host,
@@ -75,36 +74,46 @@ def html_markdown(spark, d):
     return table(spark, d, "pages").select("page_id", htmltext.markdown(F.col("html")).alias("markdown"))
 
 
-_WIKI = ["== History ==\n'''Bold''' and ''it''\n* one\n** two", "a<ref name=x>gone</ref>b {{tpl|x}} [[Page|shown]] [[Other]]", "=== Deep ===\n[https://x.org site]", "plain"]
-_WIKI_OUT = ["# History\n**Bold** and *it*\n- one\n- two", "ab  shown Other", "## Deep\n[site](https://x.org)", "plain"]
-_lit = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-_WIKI_SQL = ", ".join(f"({i}, {_lit(x)})" for i, x in enumerate(_WIKI))
+#: Documents as MediaWiki markup; SQL that both engines read.
+_WIKI = """'== ' || source || ' ==' || chr(10) || '=== Deep ' || lang || ' ===  ' || chr(10) || '* one ' || chr(39) || chr(39) || chr(39) || 'bold' || chr(39) || chr(39) || chr(39) || ' and ' || chr(39) || chr(39) || 'slanted' || chr(39) || chr(39)
+  || chr(10) || '** two<ref name=x>gone</ref>' || chr(10) || '{{tpl|x}}[[Page ' || doc_id || '|shown]] [[Other]] [https://x.org site]<ref name=y/>' || chr(10) || text"""
+_QUOTE = "' || chr(39) || '"
 
 
-@query(rf"""WITH t(n, x) AS (VALUES {_WIKI_SQL}),
-a AS (SELECT n, regexp_replace(regexp_replace(x, '(?s)<ref[^>/]*/>|<ref[^>]*>.*?</ref>', '', 'g'), '(?s)\{{\{{[^{{}}]*\}}\}}', '', 'g') AS x FROM t),
-b AS (SELECT n, regexp_replace(regexp_replace(regexp_replace(x, '(?m)^={{4}}[ \t]*([^=\n]+?)[ \t]*={{4}}[ \t]*$', '### \1', 'g'), '(?m)^={{3}}[ \t]*([^=\n]+?)[ \t]*={{3}}[ \t]*$', '## \1', 'g'), '(?m)^={{2}}[ \t]*([^=\n]+?)[ \t]*={{2}}[ \t]*$', '# \1', 'g') AS x FROM a),
-c AS (SELECT n, regexp_replace(regexp_replace(x, '''''''(.+?)''''''', '**\1**', 'g'), '''''(.+?)''''', '*\1*', 'g') AS x FROM b),
-e AS (SELECT n, regexp_replace(regexp_replace(regexp_replace(x, '\[\[[^\[\]|]*\|([^\[\]]*)\]\]', '\1', 'g'), '\[\[([^\[\]|]*)\]\]', '\1', 'g'), '\[(https?://[^\s\]]+)\s+([^\]]+)\]', '[\2](\1)', 'g') AS x FROM c)
-SELECT n, trim(regexp_replace(x, '(?m)^\*+[ \t]*', '- ', 'g'), ' ' || chr(10)) AS markdown FROM e""")
+def _wiki_sql() -> str:
+    """The replacements of markup, nested in their order."""
+    sql = _WIKI
+    steps = [(x, "") for x in fx.WIKI_DROPPED] + [(rf"(?m)^={{{n}}}\s*(.*?)\s*={{{n}}}\s*$", "#" * (n - 1) + r" \1") for n in range(6, 1, -1)]
+    # RE2 has no lookahead: a bullet is followed by anything but another one.
+    steps += [(x.replace("(?d)", ""), y.replace("$1", r"\1")) for x, y in fx.WIKI_INLINE[:3]] + [(r"(?m)^\*(?:\s|([^*\s]))", r"- \1")]
+    for pattern, becomes in [*steps, (r"^\s+|\s+$", "")]:
+        sql = f"regexp_replace({sql}, '" + pattern.replace("'", "''") + f"', '{becomes}', 'g')"
+    return sql
+
+
+@query(f"SELECT doc_id, {_wiki_sql()} AS markdown FROM documents")
 def wiki_to_markdown(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_WIKI)), "n int, x string")
-    return rows.select("n", fx.mediawiki("x").alias("markdown"))
+    return table(spark, d, "documents").select("doc_id", fx.mediawiki(F.expr(_WIKI)).alias("markdown"))
 
 
-_ANSWERS = [("text/html; charset=utf-8", "<p>x"), ("application/pdf", "%PDF-1"), ("", "%PDF-1.7 .."), ("", "  <!DOCTYPE html><p>"), ("", "words"), ("", " "), ("image/png", "x"), ("Text/Plain", "x")]
+_TYPE = "CASE page_id % 9 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN 'Text/Plain' WHEN 4 THEN 'application/json' WHEN 5 THEN 'text/markdown;x=y' ELSE '' END"
+_BODY = "CASE WHEN page_id % 9 = 6 THEN '%PDF-1.7 ' || page_id WHEN page_id % 18 = 7 THEN ' ' WHEN page_id % 18 = 16 THEN 'words ' || page_id ELSE '  ' || html END"
 
 
-@query("SELECT * FROM (VALUES (0, 'html'), (1, 'pdf'), (2, 'pdf'), (3, 'html'), (4, 'text'), (5, 'unsupported'), (6, 'unsupported'), (7, 'text')) AS t(n, extractor)")
+@query(f"""WITH a AS (SELECT page_id, lower(trim(split_part({_TYPE}, ';', 1))) AS kind, {_BODY} AS body FROM pages)
+SELECT page_id, CASE WHEN kind IN ('text/html', 'application/xhtml+xml') THEN 'html' WHEN kind = 'application/pdf' THEN 'pdf' WHEN kind IN ('text/plain', 'text/markdown') THEN 'text' WHEN kind <> '' THEN 'unsupported' WHEN starts_with(body, '%PDF-') THEN 'pdf'
+  WHEN regexp_matches(lower(ltrim(body)), '^(<!doctype html|<html|<head|<body)') THEN 'html' WHEN trim(body) <> '' THEN 'text' ELSE 'unsupported' END AS extractor FROM a""")
 def content_type_dispatch(spark, d):
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(_ANSWERS)], "n int, content_type string, body string")
-    return rows.select("n", web.dispatch(F.col("content_type"), F.col("body"), F.lit("")).alias("extractor"))
+    rows = table(spark, d, "pages").select("page_id", F.expr(_TYPE).alias("content_type"), F.expr(_BODY).alias("body"))
+    return rows.select("page_id", web.dispatch(F.col("content_type"), F.col("body"), F.lit("")).alias("extractor"))
+
 
+_STATUS = "CASE event_id % 7 WHEN 0 THEN 200 WHEN 1 THEN 204 WHEN 2 THEN 301 WHEN 3 THEN 404 WHEN 4 THEN 429 WHEN 5 THEN 503 ELSE 0 END"
 
-@query("SELECT * FROM (VALUES (200, false, NULL), (404, false, 'ERROR: page is not accessible, status 404'), (503, false, 'ERROR: failed to fetch'), (0, true, 'ERROR: request timed out')) AS t(status, timed_out, message)")
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 14 = 6 THEN 'ERROR: request timeout' WHEN {_STATUS} BETWEEN 400 AND 499 THEN 'ERROR: http code 4xx' WHEN NOT {_STATUS} BETWEEN 200 AND 299 THEN 'ERROR: unsupported content' END AS message FROM events""")
 def error_map(spark, d):
-    rows = spark.createDataFrame([(200, False), (404, False), (503, False), (0, True)], "status int, timed_out boolean")
-    return rows.select("status", "timed_out", fx.error_message("status", "timed_out").alias("message"))
+    return table(spark, d, "events").select("event_id", fx.error_message(F.expr(_STATUS), F.col("event_id") % 14 == 6).alias("message"))
 
 
 @query("""WITH a AS (SELECT user_id, event_id AS attempt, CASE WHEN event_type IN ('click', 'view') THEN 'page ' || event_id ELSE 'ERROR: ' || event_type END AS text FROM events)
@@ -114,29 +123,31 @@ def fetch_first_success(spark, d):
     return web.first_success(table(spark, d, "events").select("user_id", F.col("event_id").alias("attempt"), text.alias("text")), "user_id")
 
 
-_GOOGLE = '{"items": [{"link": "https://a.org", "title": "A"}, {"title": "no link"}, {"link": "https://b.org", "title": "B", "snippet": "s"}]}'
+_GOOGLE = """'{"items": [{"link": "' || url || '", "title": "T' || page_id || '"}, {"title": "no link"}, {"link": "https://b.org/' || page_id || '", "title": "B", "snippet": "s ' || page_id || '"}]}'"""
 
 
-@query("SELECT * FROM (VALUES ('https://a.org', 'A', 'N/A'), ('https://b.org', 'B', 's')) AS t(url, title, snippet)")
+@query("SELECT page_id, url, 'T' || page_id AS title, 'N/A' AS snippet FROM pages UNION ALL SELECT page_id, 'https://b.org/' || page_id, 'B', 's ' || page_id FROM pages")
 def search_items(spark, d):
-    rows = spark.createDataFrame([(_GOOGLE,)], "body string")
-    return rows.select(F.explode(web.google_items(F.col("body"))).alias("x")).select("x.url", "x.title", "x.snippet")
+    rows = table(spark, d, "pages").select("page_id", F.explode(web.google_items(F.expr(_GOOGLE))).alias("x"))
+    return rows.select("page_id", "x.url", "x.title", "x.snippet")
 
 
-_DDG = """<div><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2Fa&rut=1">The <b>X</b>
- page</a><a class="result__snippet">Some   <b>text</b> here</a></div><div><a class="result__a" href="https://duckduckgo.com/y.js?ad=1">Ad</a></div><div><a class="result__a" href="https://y.org">Y</a></div>"""
+_DDG = """'<div><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2Fa' || page_id || '&rut=1">The <b>X</b>' || chr(10) || ' page ' || page_id || '</a><a class="result__snippet">Some   <b>text</b> here</a></div>'
+  || '<div><a class="result__a" href="https://duckduckgo.com/y.js?ad=1">Ad</a></div><div><a class="result__a" href="https://y.org/' || page_id || '">Y</a></div>'"""
 
 
-@query("SELECT * FROM (VALUES ('https://x.org/a', 'The X page', 'Some text here'), ('https://y.org', 'Y', '')) AS t(url, title, snippet)")
+@query("SELECT page_id, 'https://x.org/a' || page_id AS url, 'The X page ' || page_id AS title, 'Some text here' AS snippet FROM pages UNION ALL SELECT page_id, 'https://y.org/' || page_id, 'Y', '' FROM pages")
 def search_page(spark, d):
-    rows = spark.createDataFrame([(_DDG,)], "body string")
-    return rows.select(F.explode(htmltext.results(F.col("body"))).alias("x")).select("x.url", "x.title", "x.snippet")
+    rows = table(spark, d, "pages").select("page_id", F.explode(htmltext.results(F.expr(_DDG))).alias("x"))
+    return rows.select("page_id", "x.url", "x.title", "x.snippet")
+
+
+_POST = """CASE WHEN page_id % 5 = 0 THEN '{}' ELSE '[{"data": {"children": [{"data": {"title": "T' || page_id || '", "selftext": "' || url || '"}}]}}]' END"""
 
 
-@query("SELECT 0 AS n, '# T' || chr(10) || chr(10) || 'body' AS text UNION ALL SELECT 1, NULL")
+@query("SELECT page_id, CASE WHEN page_id % 5 > 0 THEN '# T' || page_id || chr(10) || chr(10) || url END AS text FROM pages")
 def reddit_post(spark, d):
-    rows = spark.createDataFrame([(0, '[{"data": {"children": [{"data": {"title": "T", "selftext": "body"}}]}}]'), (1, "{}")], "n int, body string")
-    return rows.select("n", web.reddit_text(F.col("body")).alias("text"))
+    return table(spark, d, "pages").select("page_id", web.reddit_text(F.expr(_POST)).alias("text"))
 
 
 # ---- research over the pages table ----
@@ -148,9 +159,10 @@ def research_fanout(spark, d):
     """Benchmark items fan out to the pages that a search over the table finds for each."""
     from pyspark.sql import Window
 
-    branches = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("n"))
-    found = table(spark, d, "pages").select((F.col("page_id") % 40).cast("int").alias("n"), "page_id", "url").join(branches, "n")
+    branches = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("n"), F.col("text").alias("query"), urls.is_valid(F.col("text")).alias("is_url"))
+    found = table(spark, d, "pages").select((F.col("page_id") % 40).cast("int").alias("n"), "page_id", "url")
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("page_id"))).where("place <= 10")
+    found = research.branch_hits(branches, found)
     return found.groupBy("n").agg(F.count("*").alias("hits"), F.countDistinct("url").alias("urls"))
 
 
@@ -158,11 +170,10 @@ def research_fanout(spark, d):
 SELECT CAST(n AS INTEGER) AS n, count(*) FILTER (WHERE NOT failed) AS good, count(*) FILTER (WHERE failed) AS bad, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) FILTER (WHERE NOT failed) AS ids FROM h GROUP BY n""")
 def research_reduce(spark, d):
     """Evidence of all branches: texts that came and those that failed, in order."""
-    failed = F.col("page_id") % 7 == 0
-    own = table(spark, d, "pages").select((F.col("page_id") % 40).cast("int").alias("n"), "page_id", F.when(failed, "ERROR: gone").otherwise("text").alias("text"))
-    good = ~F.col("text").startswith("ERROR")
-    ids = F.sort_array(F.collect_list(F.when(good, F.col("page_id"))))
-    return own.groupBy("n").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), F.when(F.count_if(good) > 0, F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("ids"))
+    failed, page = F.col("page_id") % 7 == 0, F.col("page_id").cast("string")
+    own = table(spark, d, "pages").select((F.col("page_id") % 40).cast("int").alias("n"), F.col("page_id").alias("place"), page.alias("url"), F.when(failed, "ERROR: gone").otherwise("text").alias("text"))
+    ids = F.when(F.size("good_urls") > 0, F.array_join("good_urls", ","))
+    return research.reduced(own).select("n", F.size("good").cast("long").alias("good"), F.size("bad").cast("long").alias("bad"), ids.alias("ids"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, CAST(user_id % 10 AS BIGINT) AS source, count(*) AS updates, max(ts) AS newest FROM events GROUP BY 1, 2")
@@ -172,17 +183,20 @@ def source_updates(spark, d):
 
 
 def _state(spark) -> str:
-    """The shared folder for streams' state; a temporary one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-")).rstrip("/")
+    """The shared folder for streams' state and results; a temporary one only where none is set and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp(prefix="folioscope-")).rstrip("/")
 
 
 @query()
 def stream_sync(spark, d):
-    """The same over a stream of files: windows that the watermark has closed."""
+    """The same over a stream of files: windows that the watermark has closed, written as they close and read again."""
     path = f"{d}/events.parquet"
     own = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*").parquet(path if path.endswith("/") else f"{d}/events.parque[t]")
     updates = poll.latest_updates(own.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("source")))
-    name = f"stream_sync_{abs(hash(d)) % 10**8}"
-    run = updates.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{_state(spark)}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    at = f"{_state(spark)}/stream-sync-{uuid.uuid4().hex}"
+    run = updates.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(updates.schema).parquet(f"{at}/rows")

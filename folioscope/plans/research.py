@@ -40,20 +40,26 @@ def fan_out(spark: SparkSession, queries: list[str]) -> DataFrame:
     return rows.withColumn("is_url", urls.is_valid(F.col("query")))
 
 
-def evidence(branches: DataFrame, hits: DataFrame, transport: web.Transport) -> DataFrame:
-    """(n, query, good, bad): texts that came and URLs that failed, in the order of hits.
-
-    hits: n, place, url. A branch that is a URL itself is fetched directly.
-    """
+def branch_hits(branches: DataFrame, hits: DataFrame) -> DataFrame:
+    """(n, place, url): what a search found for each branch, or the URL that a branch is itself."""
     direct = branches.where("is_url").select("n", F.lit(0).alias("place"), F.col("query").alias("url"))
-    all_hits = hits.join(branches.where("not is_url").select("n"), "n", "left_semi").select("n", "place", "url").unionByName(direct)
-    texts = all_hits.join(web.fetch(all_hits, transport), "url")
-    good = ~F.col("text").startswith("ERROR")
+    return hits.join(branches.where("not is_url").select("n"), "n", "left_semi").select("n", "place", "url").unionByName(direct)
+
+
+def reduced(texts: DataFrame) -> DataFrame:
+    """(n, good, good_urls, bad) of texts (n, place, url, text): texts that came and URLs that failed, in the order of hits."""
+    good, empty = ~F.col("text").startswith("ERROR"), F.array().cast("array<string>")
     parts = texts.groupBy("n").agg(
         F.sort_array(F.collect_list(F.when(good, F.struct("place", "text", "url")))).alias("g"), F.sort_array(F.collect_list(F.when(~good, F.struct("place", "url")))).alias("b"),
     )
-    empty = F.array().cast("array<string>")
-    return branches.join(parts, "n", "left").select("n", "query", F.coalesce("g.text", empty).alias("good"), F.coalesce("g.url", empty).alias("good_urls"), F.coalesce("b.url", empty).alias("bad"))
+    return parts.select("n", F.coalesce("g.text", empty).alias("good"), F.coalesce("g.url", empty).alias("good_urls"), F.coalesce("b.url", empty).alias("bad"))
+
+
+def evidence(branches: DataFrame, hits: DataFrame, transport: web.Transport) -> DataFrame:
+    """(n, query, good, good_urls, bad) of every branch. hits: n, place, url."""
+    all_hits = branch_hits(branches, hits)
+    parts, empty = reduced(all_hits.join(web.fetch(all_hits, transport), "url")), F.array().cast("array<string>")
+    return branches.join(parts, "n", "left").select("n", "query", *[F.coalesce(c, empty).alias(c) for c in ("good", "good_urls", "bad")])
 
 
 def merged_evidence(own: str, recovered: str | None) -> str:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +106,20 @@ def folder(paths: DataFrame, prefix: str = "", path: str = "source_path") -> Dat
     return paths.where(F.col(path).startswith(head)).select(entry.alias("entry")).where(F.col("entry").isNotNull() & ~F.col("entry").startswith(".")).distinct().orderBy("entry")
 
 
+def samples(paths: DataFrame, folder_col: str, key: str, n: int, folders: int | None = None) -> DataFrame:
+    """(folder, files, sample): the number of notes of each folder, and n of them by the order of their keys' hashes.
+
+    folders: of how many folders, again by the order of their hashes; None for all. Each task keeps its n best of a folder,
+    so a folder of any size is sampled without meeting in one task.
+    """
+    order = F.struct(F.md5(F.col(key).cast("string")).alias("h"), F.col(key).alias("key"))
+    by = Window.partitionBy(folder_col, "_salt").orderBy(order)
+    few = paths.select(folder_col, F.col(key), F.pmod(F.xxhash64(key), F.lit(64)).alias("_salt")).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n)
+    few = few.groupBy(folder_col).agg(F.slice(F.sort_array(F.collect_list(order)), 1, n).alias("s")).select(folder_col, F.col("s.key").alias("sample"))
+    out = paths.groupBy(folder_col).agg(F.count("*").alias("files")).join(few, folder_col)
+    return out if folders is None else out.orderBy(F.md5(F.col(folder_col).cast("string")), folder_col).limit(folders)
+
+
 def read_request_error(name: str, offset: int = 0, limit: int | None = None) -> str | None:
     """What is wrong with a request to read a note, if anything."""
     if offset < 0 or (limit is not None and limit < 0):

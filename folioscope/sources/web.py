@@ -1,7 +1,7 @@
 """Fetching and searching: transports are injected; parsing and choosing are DataFrame operations.
 
-A transport maps a URL to (status, content type, body); it is called in Arrow batches on the executors. FromPages
-answers from a table of pages and needs no network.
+A transport maps a URL to (status, content type, body as text or bytes); it is called in Arrow batches on the executors.
+sources.http has one for the network; tests and tables inject their own.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import htmltext, urls
 from folioscope.functions import text as fx
+from folioscope.sources import pdf
 
 MOST_CHARS = 15000
-CUT_MARK = "\n\n... [content truncated]"
+CUT_MARK = "\n\n[Content truncated]"
 HTML_TYPES = ("text/html", "application/xhtml+xml")
-TEXT_TYPES = ("text/plain", "text/markdown", "application/json", "text/csv", "application/xml", "text/xml")
-Transport = Callable[[str], tuple[int, str, str]]
+TEXT_TYPES = ("text/plain", "text/markdown")
+TIMED_OUT, FAILED = -1, 0
+Transport = Callable[[str], tuple[int, str, str | bytes]]
 
 
 def choose_search(google_key: str | None, google_engine: str | None) -> str:
@@ -45,7 +47,7 @@ def attempts(rows: DataFrame, url: str = "url") -> DataFrame:
 
 
 def fetched(tried: DataFrame, transport: Transport) -> DataFrame:
-    """Adds status, content_type and body; a transport that fails gives status 0."""
+    """Adds status, content_type and body; a transport that fails gives FAILED or TIMED_OUT. The text of a PDF is its body."""
     names = tried.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tried.schema) + ", status int, content_type string, body string"
 
@@ -54,9 +56,12 @@ def fetched(tried: DataFrame, transport: Transport) -> DataFrame:
             got = []
             for url in batch.column(names.index("candidate")).to_pylist():
                 try:
-                    got.append(transport(url))
+                    status, kind, body = transport(url)
+                    got.append((status, kind, body) if isinstance(body, str) else (status, *pdf.as_text(kind, body)))
+                except TimeoutError:
+                    got.append((TIMED_OUT, "", ""))
                 except Exception:  # noqa: BLE001  any failure of a transport is an answer of its own
-                    got.append((0, "", ""))
+                    got.append((FAILED, "", ""))
             arrays = [pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*names, "status", "content_type", "body"])
 
@@ -76,16 +81,19 @@ def extracted(answers: DataFrame, url: str = "url") -> DataFrame:
     """Adds text: Markdown, converted wikitext, a post, plain text, or an ERROR line."""
     site, kind = urls.kind(F.col(url)), dispatch(F.col("content_type"), F.col("body"), F.col("candidate"))
     body = F.col("body")
-    text = F.when(site == "wikipedia", fx.mediawiki(body)).when(site == "reddit", F.coalesce(reddit_text(body), F.lit("ERROR: no post"))).when(kind == "html", htmltext.markdown(body)).when(kind == "text", fx.plain_text(body))
-    error = fx.error_message("status", F.col("status") == 0)
-    out = F.when(error.isNotNull(), error).when(kind == "pdf", "ERROR: unsupported content").when(kind == "unsupported", "ERROR: unsupported content").otherwise(F.coalesce(text, F.lit("ERROR: empty page")))
-    return answers.withColumn("text", fx.truncated(out, MOST_CHARS, CUT_MARK))
+    text = F.when(site == "wikipedia", fx.mediawiki(body)).when(site == "reddit", F.coalesce(reddit_text(body), F.lit(fx.ERROR_CONTENT))).when(kind == "html", htmltext.markdown(body)).when(kind == "text", fx.plain_text(body))
+    error = F.coalesce(fx.error_message("status", F.col("status") == TIMED_OUT), F.when(kind.isin("pdf", "unsupported"), fx.ERROR_CONTENT))
+    out = F.coalesce(error, F.when(F.trim(text) != "", text), F.lit(fx.ERROR_EMPTY))
+    # Of a repository's README only a missing one leads to the next; any other failure ends the search.
+    last = (site == "github_repo") & error.isNotNull() & (F.col("status") != 404)
+    return answers.withColumns({"text": fx.truncated(out, MOST_CHARS, CUT_MARK), "last": last})
 
 
 def first_success(rows: DataFrame, key: str) -> DataFrame:
-    """Per key the text of the first attempt that isn't an error, else that of the last one."""
-    good = ~F.col("text").startswith("ERROR")
-    best = F.min_by(F.when(good, F.col("text")), F.when(good, F.col("attempt")))
+    """Per key the text of the first attempt that isn't an error (or that is marked `last`), else that of the last one."""
+    ends = ~F.col("text").startswith("ERROR")
+    ends = ends | F.col("last") if "last" in rows.columns else ends
+    best = F.min_by(F.when(ends, F.col("text")), F.when(ends, F.col("attempt")))
     return rows.groupBy(key).agg(F.coalesce(best, F.max_by("text", "attempt")).alias("text"))
 
 

@@ -1,6 +1,9 @@
 """The search engine, the agent, the note tools and the settings."""
 
 import json
+import sys
+import types
+import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,9 @@ from pyspark.sql import functions as F
 from folioscope import __main__ as cli
 from folioscope import config
 from folioscope.operators.store import ChunkStore
+from folioscope.functions import text as fx
 from folioscope.plans import engine, providers
+from folioscope.sources import http, pdf, web
 
 
 class Fixed:
@@ -137,3 +142,82 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out) == {"ADD": 1}
     cli.main(["list", "--vault", str(tmp_path)])
     assert capsys.readouterr().out == "n\n"
+
+
+class Answer:
+    """What urlopen gives."""
+
+    def __init__(self, body, kind="text/plain", status=200):
+        self.body, self.headers, self.status = body, {"Content-Type": kind}, status
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+    def read(self):
+        return self.body
+
+
+def test_http_transports():
+    asked = []
+
+    def opener(request, timeout):
+        asked.append((request.full_url, request.data, dict(request.headers)))
+        if "gone" in request.full_url:
+            raise urllib.error.HTTPError(request.full_url, 404, "gone", {}, None)
+        if "slow" in request.full_url:
+            raise urllib.error.URLError(TimeoutError())
+        if "rerank" in request.full_url:
+            return Answer(json.dumps({"results": [{"index": 1, "relevance_score": 0.9}, {"index": 0, "relevance_score": 0.1}]}).encode())
+        return Answer(b"found", "text/html")
+
+    pages = http.Pages(opener)
+    assert pages("https://x.org/a") == (200, "text/html", b"found")
+    assert pages("https://x.org/gone")[0] == 404
+    with pytest.raises(TimeoutError):
+        pages("https://x.org/slow")
+    assert http.WebSearch(opener=opener).kind == "duckduckgo"
+    assert http.WebSearch(opener=opener)("two words") == "found"
+    assert asked[-1][1] == b"q=two+words&b=&l=us-en"
+    assert http.WebSearch("k", "e", opener=opener)("q") == "found"
+    assert asked[-1][0].startswith(http.GOOGLE + "?key=k&cx=e&q=q&num=10")
+    assert http.Reranker("https://r.org/", "m", "secret", opener)("q", ["a", "b"]) == [(1, 0.9), (0, 0.1)]
+    assert asked[-1][2]["Authorization"] == "Bearer secret"
+    with pytest.raises(OSError, match="404"):
+        http.Reranker("https://gone.org", "m", "", opener)("q", [])
+
+
+def test_pdf_text_needs_a_library(monkeypatch):
+    class Page:
+        def get_text(self, kind):
+            return " page text\n"
+
+    class Document(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=lambda stream, filetype: Document([Page(), Page()])))
+    assert pdf.as_text("application/pdf", b"%PDF-1") == ("text/plain", "page text\n\npage text")
+    monkeypatch.setitem(sys.modules, "pymupdf", None)
+    assert pdf.as_text("", b"%PDF-1") == ("application/pdf", "%PDF-")
+    assert pdf.as_text("text/html", b"<p>\xff") == ("text/html", "<p>�")
+
+
+def test_fetch_answers_as_callers_expect(spark):
+    def transport(url):
+        if "slow" in url:
+            raise TimeoutError
+        answers = {"https://x.org/json": (200, "application/json", "{}"), "https://x.org/empty": (200, "text/plain", " "), "https://x.org/503": (503, "", ""), "https://x.org/403": (403, "", ""), "https://x.org/pdf": (200, "application/pdf", b"%PDF-1")}
+        repo = {"https://raw.githubusercontent.com/a/b/main/README.md": (404, "", ""), "https://raw.githubusercontent.com/a/b/main/README.rst": (200, "text/plain", "found it"), "https://raw.githubusercontent.com/c/d/main/README.md": (500, "", "")}
+        return {**answers, **repo, "https://x.org/long": (200, "text/markdown", "y" * 20_000)}.get(url, (200, "text/plain", "late"))
+
+    urls = [f"https://x.org/{x}" for x in ("json", "empty", "503", "403", "pdf", "slow", "long")] + ["https://github.com/a/b", "https://github.com/c/d"]
+    got = {r["url"].split("/")[-1]: r["text"] for r in web.fetch(spark.createDataFrame([(u,) for u in urls], "url string"), transport).collect()}
+    long = got.pop("long")
+    assert got == {"json": fx.ERROR_CONTENT, "empty": fx.ERROR_EMPTY, "503": fx.ERROR_CONTENT, "403": fx.ERROR_4XX, "pdf": fx.ERROR_CONTENT, "slow": fx.ERROR_TIMEOUT, "b": "found it", "d": fx.ERROR_CONTENT}
+    assert long == "y" * 15_000 + web.CUT_MARK
