@@ -3,8 +3,9 @@
 Documents stay in the order of their partition. A sequence is a run of at most `window` tokens between two
 cuts; cuts may stand after a document (free), after a sentence (sentence_penalty tokens) or, where neither
 comes for a long time, on a grid (hard_penalty tokens). The cost of a sequence is its padding, none if its
-length is a power of two; the sum of padding and penalties is minimal over each stretch of SEGMENT windows. Of equal
-costs the longest sequence that the queue holds is taken, so a run gives the same cuts again.
+length is a power of two from `shortest` up (a sequence of a few tokens would save padding, but is little use); the
+sum of padding and penalties is minimal over each stretch of SEGMENT windows. Of equal costs the longest sequence
+that the queue holds is taken, so a run gives the same cuts again.
 
 Nulls: a null text is empty and gives the end id alone; a null doc_id is carried through. Repeated rows are
 packed one by one. Very long texts are cut like others, and the newest one is held whole. Empty tables give no rows.
@@ -47,7 +48,7 @@ def sentence_ends(encoder: Encoder, text: str) -> tuple[bytes, list[int]]:
     return np.asarray(got.ids, "<u4").tobytes(), [i + 1 for i, (_, e) in enumerate(got.offsets) if e < len(text) and text[e - 1] in ".!?\n" and text[e].isspace()]
 
 
-def best_cuts(pos: list[int], pen: list[float], window: int) -> list[int]:
+def best_cuts(pos: list[int], pen: list[float], window: int, shortest: int = 1) -> list[int]:
     """Indexes of the cuts, first and last included, with the least padding plus penalties.
 
     pos rises from pos[0]; no two neighbours are more than window apart.
@@ -60,7 +61,7 @@ def best_cuts(pos: list[int], pen: list[float], window: int) -> list[int]:
     # By cut, the cuts that stand a power of two before it: a sequence between them has no padding.
     free: dict[int, list[int]] = {}
     places = np.asarray(pos)
-    for power in (1 << k for k in range(window.bit_length()) if 1 << k < window):
+    for power in (1 << k for k in range(window.bit_length()) if shortest <= 1 << k < window):
         before = np.searchsorted(places, places - power)
         for j in np.flatnonzero(places[before] == places - power).tolist():
             free.setdefault(j, []).append(int(before[j]))
@@ -89,8 +90,8 @@ def best_cuts(pos: list[int], pen: list[float], window: int) -> list[int]:
 class Packer:
     """Documents in, pieces of finished sequences out; holds one stretch of SEGMENT windows and the newest document."""
 
-    def __init__(self, encoder: Encoder, window: int, sentence_penalty: float, hard_penalty: float, end_id: int, first: int, with_ids: bool):
-        self.encoder, self.window, self.soft, self.hard, self.next, self.with_ids = encoder, window, sentence_penalty, hard_penalty, first, with_ids
+    def __init__(self, encoder: Encoder, window: int, sentence_penalty: float, hard_penalty: float, end_id: int, first: int, with_ids: bool, shortest: int = 64):
+        self.encoder, self.window, self.soft, self.hard, self.next, self.with_ids, self.shortest = encoder, window, sentence_penalty, hard_penalty, first, with_ids, shortest
         self.end = np.asarray([end_id], "<u4").tobytes()
         self.docs: list[tuple[int | None, bytes]] = []
         self.starts: list[int] = []  # of the documents, in tokens of the stretch; may be negative for one begun earlier
@@ -121,7 +122,7 @@ class Packer:
     def flush(self, final: bool) -> None:
         if len(self.pos) < 2:
             return
-        cuts = best_cuts(self.pos, self.pen, self.window)
+        cuts = best_cuts(self.pos, self.pen, self.window, self.shortest)
         if not final:
             cuts = cuts[:-1]  # the last, part-filled window goes on with the next stretch
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -157,12 +158,12 @@ class Packer:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, sentence_penalty: float = 4.0, hard_penalty: float = 48.0, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, sentence_penalty: float = 4.0, hard_penalty: float = 48.0, end_id: int = 1, with_ids: bool = True, shortest: int = 64) -> DataFrame:
     """Pieces of all documents (doc_id, text); with_ids adds the pieces' ids as little-endian 32-bit bytes."""
 
     def run(batches):
         encoder = common.worker_cache(("encoder", tokenizer), lambda: Encoder(tokenizer))
-        packer = Packer(encoder, window, sentence_penalty, hard_penalty, end_id, TaskContext.get().partitionId() << 32, with_ids)
+        packer = Packer(encoder, window, sentence_penalty, hard_penalty, end_id, TaskContext.get().partitionId() << 32, with_ids, shortest)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, text.as_py())

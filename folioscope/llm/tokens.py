@@ -15,12 +15,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class _Words(dict):
     """Word -> its ids as little-endian 32-bit bytes."""
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, encode, piece, prefix: str):
+        """encode takes any text; piece takes the bytes of one piece of the pre-tokenizer, if there is such a function."""
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode, self.piece, self.prefix = encode, piece, prefix
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encode(self.prefix + word)).tobytes()
+        text = self.prefix + word
+        # Letters alone, with a blank before them or none, are one piece.
+        ids = array("I", self.piece(text.encode()) if self.piece and word.isalpha() else self.encode(text)).tobytes()
         if len(self) < MOST_WORDS:
             self[word] = ids
         return ids
@@ -40,8 +43,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        encode = _ranked(path) or (lambda word: self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self.first, self.rest = _Words(encode, ""), _Words(encode, " ")
+        encode, piece = _ranked(path) or (lambda word: self.tokenizer.encode(word, add_special_tokens=False).ids, None)
+        self.first, self.rest = _Words(encode, piece, ""), _Words(encode, piece, " ")
         self.newline = self.whole("\n")
 
     def words(self, text: str) -> tuple[list[str], list[bytes]] | None:
@@ -80,7 +83,7 @@ def _letters() -> dict[str, int]:
 
 
 def _ranked(path: str):
-    """A fast encoder of single words, or None if ids don't stand in the order of merges."""
+    """Fast encoders of words and of single pieces, or None if ids don't stand in the order of merges."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -91,7 +94,8 @@ def _ranked(path: str):
         return None
     back = _letters()
     ranks = {bytes(back[c] for c in text): i for text, i in vocab.items() if all(c in back for c in text) and (len(text) == 1 or i >= at[0]) and i <= at[-1]}
-    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    found = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return found.encode_ordinary, getattr(getattr(found, "_core_bpe", None), "encode_single_piece", None)
 
 
 def byte_table(path: str) -> list[bytes]:
