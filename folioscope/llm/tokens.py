@@ -7,7 +7,7 @@ from array import array
 
 import numpy as np
 
-MOST_WORDS = 150_000
+MOST_WORDS = 300_000
 #: The pre-tokenizer of byte-level BPE vocabularies of this kind; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
