@@ -175,7 +175,7 @@ _STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 @query(rf"""WITH t AS (SELECT doc_id, {_STRIPPED.format(_HYDE)} AS x FROM documents),
-a AS (SELECT doc_id, regexp_replace(x, '(?im)^(?:{_OPENINGS})\b.*?\n', '', 'g') AS x FROM t), b AS (SELECT doc_id, {_STRIPPED.format(f"regexp_replace(x, '(?im)^(?:{_REMARKS})[.,!:\s]*', '', 'g')")} AS x FROM a),
+a AS (SELECT doc_id, regexp_replace(x, '(?im)^(?:{_OPENINGS})\b.*?\n', '', 'g') AS x FROM t), b AS (SELECT doc_id, {_STRIPPED.format(rf"regexp_replace(x, '(?im)^(?:{_REMARKS})[.,!:\s]*', '', 'g')")} AS x FROM a),
 c AS (SELECT doc_id, {_STRIPPED.format(f"CASE WHEN regexp_matches(x, '{fx.FENCE}') THEN regexp_extract(x, '{fx.FENCE}', 1) ELSE replace(x, '```', '') END")} AS x FROM b)
 SELECT doc_id, CASE WHEN len(regexp_split_to_array(x, '\s+')) > 120 THEN array_to_string(list_slice(regexp_split_to_array(x, '\s+'), 1, 120), ' ') ELSE x END AS cleaned FROM c""")
 def hyde_clean(spark, d):
