@@ -75,6 +75,14 @@ def answer_prompt(question: Column, notes: Column) -> Column:
     return F.format_string("Answer from these notes.\nQuestion: %s\n%s", question, notes)
 
 
+def queries_prompt(question: Column) -> Column:
+    return F.format_string("Name at most five web searches, or pages to read, that help to answer, as a JSON list.\nQuestion: %s", question)
+
+
+def reflection_prompt(question: Column, findings: Column) -> Column:
+    return F.format_string("Do the findings answer the question? Reply in JSON with is_sufficient, knowledge_gap and follow_up_queries.\nQuestion: %s\nFindings:\n%s", question, findings)
+
+
 def evidence_prompt(question: Column, gap: Column, sources: Column) -> Column:
     """sources: the texts that came; a knowledge gap that is null or empty is left out."""
     asked = F.when(F.coalesce(gap, F.lit("")) != "", F.format_string("\nKnowledge gap: %s", gap)).otherwise("")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -9,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls
+from folioscope.operators import formats
+from folioscope.plans import providers
 from folioscope.sources import web
 
 NOTHING = "NO_RELEVANT_EVIDENCE"
@@ -18,15 +23,56 @@ MOST_RECOVERED = 4
 class Planner(Protocol):
     def queries(self, question: str) -> list[str]: ...
 
-    def clean(self, query: str, sources: list[str]) -> str: ...
+    def clean(self, query: str, sources: list[str], gap: str) -> str: ...
 
-    def recover(self, query: str, failed: list[str]) -> str: ...
+    def recover(self, query: str, failed: list[str], gap: str) -> str: ...
 
-    def reflect(self, question: str, findings: list[str]) -> tuple[bool, list[str]]: ...
+    def reflect(self, question: str, findings: list[str]) -> tuple[bool, str, list[str]]: ...
 
     def answer(self, question: str, findings: list[str]) -> tuple[str, str]: ...
 
 
+def listed(answer: str) -> list[str]:
+    """The strings of a JSON list, else the lines of an answer without bullets and numbers."""
+    try:
+        found = json.loads(answer)
+        return [str(x).strip() for x in found if str(x).strip()] if isinstance(found, list) else []
+    except ValueError:
+        return [x for line in answer.splitlines() if (x := re.sub(r"^\s*(?:[-*]|\d+[.)])\s*", "", line).strip())]
+
+
+class ChatPlanner:
+    """Plans by asking a model; prompts are those of operators.formats."""
+
+    def __init__(self, spark: SparkSession, chat: providers.Chat):
+        self.spark, self.chat = spark, chat
+
+    def _ask(self, prompt) -> str:
+        return self.chat.ask(self.spark.range(1).select(prompt.alias("p")).first()["p"]).strip()
+
+    def queries(self, question: str) -> list[str]:
+        return listed(self._ask(formats.queries_prompt(F.lit(question)))) or [question]
+
+    def clean(self, query: str, sources: list[str], gap: str = "") -> str:
+        return self._ask(formats.evidence_prompt(F.lit(query), F.lit(gap), F.array(*[F.lit(s) for s in sources])))
+
+    def recover(self, query: str, failed: list[str], gap: str = "") -> str:
+        return self._ask(formats.recovery_prompt(F.lit(query), F.lit(gap), F.array(*[F.lit(u) for u in failed]), MOST_RECOVERED))
+
+    def reflect(self, question: str, findings: list[str]) -> tuple[bool, str, list[str]]:
+        """Enough is known if the model names no gap; a reply that can't be read ends the research."""
+        try:
+            reply = json.loads(self._ask(formats.reflection_prompt(F.lit(question), F.lit("\n\n".join(findings)))))
+            return bool(reply["is_sufficient"]), str(reply.get("knowledge_gap") or ""), [str(q) for q in reply.get("follow_up_queries") or []]
+        except (ValueError, KeyError, TypeError, AttributeError):
+            return True, "", []
+
+    def answer(self, question: str, findings: list[str]) -> tuple[str, str]:
+        reply = self._ask(formats.answer_prompt(F.lit(question), F.lit("\n\n".join(findings))))
+        first, _, rest = reply.partition("\n\n")
+        return first, rest
+
+
 @dataclass
 class Report:
     answer: str
@@ -75,21 +121,28 @@ def should_stop(sufficient: bool, loops: int, follow_ups: list[str], most_loops:
 
 def research(spark: SparkSession, question: str, planner: Planner, search, transport: web.Transport, most_loops: int = 3) -> Report:
     """search(branches) gives hits (n, place, url). Each round is one distributed job over its branches."""
-    queries, findings, sources, loops = planner.queries(question)[:5], [], [], 0
+    queries, findings, sources, loops, gap = planner.queries(question)[:5], [], [], 0, ""
     while True:
         branches = fan_out(spark, queries)
         for row in evidence(branches, search(branches), transport).orderBy("n").collect():  # as many rows as there are queries
-            own = planner.clean(row["query"], row["good"]) if row["good"] else NOTHING
+            own = planner.clean(row["query"], row["good"], gap) if row["good"] else NOTHING
             if row["bad"]:
                 try:
-                    own = merged_evidence(own, planner.recover(row["query"], row["bad"][:MOST_RECOVERED]))
+                    own = merged_evidence(own, planner.recover(row["query"], row["bad"][:MOST_RECOVERED], gap))
                 except Exception:  # noqa: BLE001  recovery is optional
                     pass
             findings.append(own)
             sources += row["good_urls"]
         loops += 1
-        sufficient, queries = planner.reflect(question, findings)
+        sufficient, gap, queries = planner.reflect(question, findings)
         if should_stop(sufficient, loops, queries, most_loops):
             break
     answer, explanation = planner.answer(question, findings)
     return Report(answer, explanation, list(dict.fromkeys(sources)))
+
+
+def researcher(kind: str, spark: SparkSession, planner: Planner, search, transport: web.Transport, most_loops: int = 3) -> Callable[[str], Report]:
+    """What answers questions by research of a kind; there is one kind so far."""
+    if kind != "deep_research":
+        raise ValueError(f"unknown kind of research: {kind!r}")
+    return lambda question: research(spark, question, planner, search, transport, most_loops)

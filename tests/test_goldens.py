@@ -273,15 +273,15 @@ def test_research(spark):
         def queries(self, question):
             return ["one", "https://x.org/b"]
 
-        def clean(self, query, sources):
-            return f"{query}: {len(sources)}"
+        def clean(self, query, sources, gap):
+            return f"{query}: {len(sources)}{gap}"
 
-        def recover(self, query, failed):
+        def recover(self, query, failed, gap):
             return research.NOTHING
 
         def reflect(self, question, findings):
             self.rounds += 1
-            return self.rounds > 1, ["more"]
+            return self.rounds > 1, " for the gap", ["more"]
 
         def answer(self, question, findings):
             return "; ".join(findings), ""
@@ -293,7 +293,10 @@ def test_research(spark):
         return (200, "text/plain", url) if "x.org" in url else (500, "", "")
 
     report = research.research(spark, "q", Planner(), search, transport)
-    assert report.answer == "one: 1; https://x.org/b: 1; more: 1"
+    assert report.answer == "one: 1; https://x.org/b: 1; more: 1 for the gap"
+    with pytest.raises(ValueError, match="unknown kind"):
+        research.researcher("other", spark, Planner(), search, transport)
+    assert research.researcher("deep_research", spark, Planner(), search, transport)("q").sources == report.sources
     assert report.sources == ["https://x.org/a", "https://x.org/b"]
     assert research.should_stop(False, 3, ["x"])
     assert research.merged_evidence("a", "b") == "a\n\nb"
@@ -325,6 +328,31 @@ def test_embedder_places_alike_texts_near():
     assert providers.FeatureEmbedder(8).embed([""]) == [[0.0] * 8]
 
 
+def test_planner_that_asks_a_model(spark):
+    class Model:
+        def __init__(self, *replies):
+            self.replies, self.prompts = list(replies), []
+
+        def ask(self, prompt):
+            self.prompts.append(prompt)
+            return self.replies.pop(0)
+
+    model = Model('["a", " ", "https://x.org"]', "1. one\n- two", " kept ", "read", '{"is_sufficient": false, "knowledge_gap": "when", "follow_up_queries": ["b"]}', "no json", "Yes.\n\nBecause.")
+    planner = research.ChatPlanner(spark, model)
+    assert planner.queries("q") == ["a", "https://x.org"]
+    assert planner.queries("q") == ["one", "two"]
+    assert planner.clean("q", ["s1", "s2"], "where") == "kept"
+    assert "Knowledge gap: where" in model.prompts[-1]
+    assert "s1\n\ns2" in model.prompts[-1]
+    assert planner.recover("q", [f"u{i}" for i in range(9)], "") == "read"
+    assert "4. u3" in model.prompts[-1]
+    assert "u4" not in model.prompts[-1]
+    assert "Knowledge gap" not in model.prompts[-1]
+    assert planner.reflect("q", ["f"]) == (False, "when", ["b"])
+    assert planner.reflect("q", ["f"]) == (True, "", [])
+    assert planner.answer("q", ["f"]) == ("Yes.", "Because.")
+
+
 def test_markdown():
     assert htmltext.to_markdown("<h2>T</h2><ul><li>a<li>b</ul><script>x</script><p>q <b>r</b> <a href='u'>s</a>") == "## T\n\n* a\n* b\n\nq **r** [s](u)"
     assert htmltext.to_markdown(None) is None
