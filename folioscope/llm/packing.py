@@ -3,7 +3,7 @@
 Documents stay in the order of their partition. A sequence is a run of at most `window` tokens between two
 cuts; cuts may stand after a document (free), after a sentence (sentence_penalty tokens) or, where neither
 comes for a long time, on a grid (hard_penalty tokens). The cost of a sequence is its padding, none if its
-length is a power of two from `shortest` up (a sequence of a few tokens would save padding, but is little use); the
+length is a power of two (from `shortest` up, 1 by default; more keeps sequences long at the price of padding); the
 sum of padding and penalties is minimal over each stretch of SEGMENT windows. Of equal costs the longest sequence
 that the queue holds is taken, so a run gives the same cuts again.
 
@@ -90,7 +90,7 @@ def best_cuts(pos: list[int], pen: list[float], window: int, shortest: int = 1)
 class Packer:
     """Documents in, pieces of finished sequences out; holds one stretch of SEGMENT windows and the newest document."""
 
-    def __init__(self, encoder: Encoder, window: int, sentence_penalty: float, hard_penalty: float, end_id: int, first: int, with_ids: bool, shortest: int = 64):
+    def __init__(self, encoder: Encoder, window: int, sentence_penalty: float, hard_penalty: float, end_id: int, first: int, with_ids: bool, shortest: int = 1):
         self.encoder, self.window, self.soft, self.hard, self.next, self.with_ids, self.shortest = encoder, window, sentence_penalty, hard_penalty, first, with_ids, shortest
         self.end = np.asarray([end_id], "<u4").tobytes()
         self.docs: list[tuple[int | None, bytes]] = []
@@ -158,7 +158,7 @@ class Packer:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, sentence_penalty: float = 4.0, hard_penalty: float = 48.0, end_id: int = 1, with_ids: bool = True, shortest: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, sentence_penalty: float = 4.0, hard_penalty: float = 48.0, end_id: int = 1, with_ids: bool = True, shortest: int = 1) -> DataFrame:
     """Pieces of all documents (doc_id, text); with_ids adds the pieces' ids as little-endian 32-bit bytes."""
 
     def run(batches):
